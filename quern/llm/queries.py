@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import repeated_lines, visual_form
+from quern.llm import leakage, repeated_lines, splitting, visual_form
 from quern.plans.tables import table
 
 QUERIES, SQL = {}, {}
@@ -45,3 +45,33 @@ def p2_normalised(spark, sf_dir):
         one = visual_form.normalised(df, key, text, words).select(F.lit(name).alias("field"), F.col(key).alias("rec_id"), "form")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query
+def p4_found(spark, sf_dir):
+    out = None
+    for field, name, key in (("attachment_text", "documents", "doc_id"), ("content", "chunks", "id")):
+        one = (splitting.split_oversized(table(spark, sf_dir, name), key, field).where("piece_no = 0")
+               .select(F.lit(field).alias("field"), F.col("rec_id")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+SQL["p4_found"] = """
+SELECT 'attachment_text' AS field, doc_id AS rec_id FROM documents WHERE length(attachment_text) > 900
+UNION ALL SELECT 'content', id FROM chunks WHERE length(content) > 900
+"""
+
+
+@query
+def p4_pieces(spark, sf_dir):
+    out = None
+    for field, name, key in (("attachment_text", "documents", "doc_id"), ("content", "chunks", "id")):
+        one = splitting.split_oversized(table(spark, sf_dir, name), key, field).withColumn("field", F.lit(field))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def p9_found(spark, sf_dir):
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
