@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import leakage, repeated_lines, splitting, visual_form
+from quern.llm import leakage, page_model, repeated_lines, residue, splitting, visual_form
 from quern.plans.tables import table
 
 QUERIES, SQL = {}, {}
@@ -75,3 +75,19 @@ def p4_pieces(spark, sf_dir):
 @query
 def p9_found(spark, sf_dir):
     return leakage.leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
+
+
+@query
+def p5_found(spark, sf_dir):
+    return page_model.surrounding_lines(table(spark, sf_dir, "documents"), "doc_id", "raw_text", "title")
+
+
+@query
+def p5_body(spark, sf_dir):
+    return page_model.main_body(table(spark, sf_dir, "documents"), "doc_id", "raw_text", "title")
+
+
+@query
+def p6_found(spark, sf_dir):
+    return residue.residue_records([("raw_text", table(spark, sf_dir, "documents"), "doc_id", "raw_text", "title"),
+                                    ("extracted_text", table(spark, sf_dir, "document_assets"), "id", "extracted_text", None)])
