@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import leakage, page_model, repeated_lines, residue, splitting, visual_form
+from quern.llm import leakage, page_model, repeated_lines, residue, scans, splitting, visual_form
 from quern.plans.tables import table
 
 QUERIES, SQL = {}, {}
@@ -91,3 +91,21 @@ def p5_body(spark, sf_dir):
 def p6_found(spark, sf_dir):
     return residue.residue_records([("raw_text", table(spark, sf_dir, "documents"), "doc_id", "raw_text", "title"),
                                     ("extracted_text", table(spark, sf_dir, "document_assets"), "id", "extracted_text", None)])
+
+
+def _p7_tables(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    assets = table(spark, sf_dir, "document_assets").where("extracted_text != ''").select("id", "doc_id", "extracted_text")
+    assets = assets.join(docs.select("doc_id", "title"), "doc_id", "left")
+    return ([("image_text", docs, "doc_id", "image_text", "title", True), ("extracted_text", assets, "id", "extracted_text", "title", False)],
+            [(docs, "text"), (docs, "title"), (docs, "attachment_text")])
+
+
+@query
+def p7_found(spark, sf_dir):
+    return scans.scan_noise(*_p7_tables(spark, sf_dir))
+
+
+@query
+def p7_repaired(spark, sf_dir):
+    return scans.repaired(*_p7_tables(spark, sf_dir))

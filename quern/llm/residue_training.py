@@ -15,7 +15,7 @@ from collections import Counter
 import numpy as np
 
 from quern.llm.page_training import labelled
-from quern.llm.residue import MENTION, MODEL, SLOT, template_features, units
+from quern.llm.residue import MENTION, MODEL, SLOT, made_up, template_features, units
 from quern.llm.visual_form import visual_key
 
 MAX_LINES = 150_000
@@ -37,6 +37,8 @@ def label(line: str) -> int:
     s = re.sub(r"\s+", " ", visual_key(line)).strip().lower()
     if SLOT.search(visual_key(line)):
         return int(not MENTION.search(s))
+    if made_up(s) or all(made_up(x) for x in re.split(r"(?<=[.]) ", s)):
+        return 1
     return int(bool(MESSAGE.search(s)) and len(s) < 90 or bool(re.match(r"(.{6,60}?[.]) ?\1", s)))
 
 
