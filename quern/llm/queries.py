@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import leakage, page_model, repeated_lines, residue, scans, splitting, visual_form
+from quern.llm import leakage, page_model, personal, repeated_lines, residue, scans, splitting, visual_form
 from quern.plans.tables import table
 
 QUERIES, SQL = {}, {}
@@ -109,3 +109,13 @@ def p7_found(spark, sf_dir):
 @query
 def p7_repaired(spark, sf_dir):
     return scans.repaired(*_p7_tables(spark, sf_dir))
+
+
+@query
+def p10_found(spark, sf_dir):
+    return personal.personal_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def p10_redacted(spark, sf_dir):
+    return personal.redacted(table(spark, sf_dir, "documents"), "doc_id", "text")
