@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import leakage, page_model, personal, repeated_lines, residue, scans, splitting, visual_form
+from quern.llm import leakage, packing, page_model, personal, repeated_lines, residue, scans, splitting, visual_form
 from quern.plans.tables import table
 
 QUERIES, SQL = {}, {}
@@ -119,3 +119,13 @@ def p10_found(spark, sf_dir):
 @query
 def p10_redacted(spark, sf_dir):
     return personal.redacted(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def p8_containers(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def p8_report(spark, sf_dir):
+    return packing.report(packing.packed(table(spark, sf_dir, "documents"), "doc_id", "text"))

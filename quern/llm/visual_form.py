@@ -207,7 +207,8 @@ class SpellingTrie:
 
 
 def spelling_vocabulary(columns: list[DataFrame], size: int = VOCABULARY) -> dict[str, int]:
-    """The ``size`` most frequent canonical spellings over all rows of one-column tables (ties by spelling).
+    """The ``size`` most frequent canonical spellings (whole classes of equal frequency, so at most as many) over all rows of
+    one-column tables.
     Counts leave each task summed; the driver receives at most ``size`` rows."""
     def work(batches, flush=200_000):
         counts, fit = Counter(), {}
@@ -224,9 +225,19 @@ def spelling_vocabulary(columns: list[DataFrame], size: int = VOCABULARY) -> dic
     for df in columns:
         one = df.select(F.col(df.columns[0]).alias("t"))
         texts = one if texts is None else texts.unionByName(one)
-    counted = map_task(texts, "w string, n long", work).groupBy("w").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "w").limit(size).collect()
-    return {r["w"]: r["n"] for r in top}
+    from quern.session import written
+    counted = written(map_task(texts, "w string, n long", work).groupBy("w").agg(F.sum("n").alias("n")), "spellings")
+    # The floor of the list is found by counts of counts, so the driver receives at most ``size`` rows in all.
+    bins = counted.groupBy(F.floor(F.log2("n") * 16).cast("int").alias("b")).count().collect()
+    floor, seen = None, 0
+    for r in sorted(bins, key=lambda r: -r["b"]):
+        seen += r["count"]
+        if seen > size:
+            break
+        floor = r["b"]
+    if floor is None:
+        return {}
+    return {r["w"]: r["n"] for r in counted.where(F.floor(F.log2("n") * 16) >= floor).collect()}
 
 
 class Normaliser:
