@@ -52,9 +52,12 @@ def lookup(table: dict[str, str], key: Column, default: str | None) -> Column:
 
 def merge_maps(*maps: Column) -> Column:
     """Keys of all maps; the last map wins."""
+    def two(a: Column, b: Column) -> Column:
+        return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
     out = maps[0]
     for m in maps[1:]:
-        out = F.map_concat(F.map_filter(out, lambda k, _, m=m: ~F.map_contains_key(m, k)), m)
+        out = two(out, m)
     return out
 
 
