@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -64,16 +64,17 @@ def variants(query: Column, compact: Column, expansions: Column) -> Column:
                                              F.btrim(F.concat_ws(" ", query, F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))))), lambda q: q != "")
 
 
-def understand(question: Column, *, replacements=(), synonyms: Mapping[str, list[str]], terms: list[str], stopwords: list[str],
-               groups: Mapping[str, Mapping[str, list[str]]], expansions: Mapping[str, list[str]], hints: Mapping[str, list[str]]) -> dict[str, Column]:
-    """Columns of the whole chain: normalized_query, keywords, entities, filters, category, rewritten_queries."""
-    q = expand_synonyms(normalise_query(question, list(replacements)), synonyms)
-    words = keywords(q, terms, stopwords)
-    found = entities(q, words, groups)
+def understand(df: DataFrame, question: str, *, replacements=(), synonyms: Mapping[str, list[str]], terms: list[str], stopwords: list[str],
+               groups: Mapping[str, Mapping[str, list[str]]], expansions: Mapping[str, list[str]], hints: Mapping[str, list[str]]) -> DataFrame:
+    """Adds the columns of the whole chain: normalized_query, keywords, entities, filters, category, rewritten_queries."""
+    none = F.array().cast("array<string>")
+    q, words, found = F.col("normalized_query"), F.col("keywords"), F.col("entities")
     names = F.array_sort(F.array_distinct(F.flatten(F.map_values(found))))
-    more = F.array_distinct(F.flatten(F.array(F.array().cast("array<string>"), *[F.when(F.contains(q, F.lit(t)), F.array(*map(F.lit, e))).otherwise(F.array().cast("array<string>")) for t, e in expansions.items()])))
-    return {"normalized_query": q, "keywords": words, "entities": found, "filters": filters(found, hints), "category": first_of(F.element_at(found, "category")),
-            "rewritten_queries": variants(q, names, more)}
+    more = F.array_distinct(F.flatten(F.array(none, *[F.when(F.contains(q, F.lit(t)), F.array(*map(F.lit, e))).otherwise(none) for t, e in expansions.items()])))
+    return (df.withColumn("normalized_query", normalise_query(F.col(question), list(replacements)))
+            .withColumn("normalized_query", expand_synonyms(q, synonyms))
+            .withColumn("keywords", keywords(q, terms, stopwords)).withColumn("entities", entities(q, words, groups))
+            .withColumns({"filters": filters(found, hints), "category": first_of(F.element_at(found, "category")), "rewritten_queries": variants(q, names, more)}))
 
 
 def intent(c: Column, *, abuse: Column, domain: list[str], question: list[str], time: list[str], patterns: list[str]) -> Column:

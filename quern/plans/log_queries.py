@@ -70,9 +70,9 @@ def nearest_intent(spark, sf_dir):
 
 @query()
 def understand_questions(spark, sf_dir):
-    cols = u.understand(F.col("question"), replacements=[("어떡해", "어떻게"), ("공지사항", "공지")], synonyms=SYNONYMS, terms=DOMAIN, stopwords=STOP, groups=GROUPS, expansions=EXPANSIONS, hints=HINTS)
-    flat = {k: F.to_json(c) if k in ("entities", "filters") else c for k, c in cols.items()}
-    return table(spark, sf_dir, "query_logs").select("id", *[c.alias(k) for k, c in flat.items()])
+    q = table(spark, sf_dir, "query_logs").select("id", "question")
+    out = u.understand(q, "question", replacements=[("어떡해", "어떻게"), ("공지사항", "공지")], synonyms=SYNONYMS, terms=DOMAIN, stopwords=STOP, groups=GROUPS, expansions=EXPANSIONS, hints=HINTS)
+    return out.select("id", "normalized_query", "keywords", F.to_json("entities").alias("entities"), F.to_json("filters").alias("filters"), "category", "rewritten_queries")
 
 
 _TERMS = " UNION ALL ".join(f"SELECT id, '{t}' AS term, position('{t}' IN question) + {len(t)} AS e, -{len(t)} AS l FROM query_logs WHERE contains(question, '{t}')" for t in DOMAIN)

@@ -95,11 +95,11 @@ def stop_at_date(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 'https://h.example/p/' || a AS src, 'https://h.example/p/' || b AS dst FROM
- (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS b FROM lineitem) WHERE b IS NOT NULL),
+ (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem) WHERE b IS NOT NULL),
 r AS (SELECT 'https://h.example/p/' || p_partkey AS url, 0 AS depth FROM part WHERE p_partkey <= 3 UNION SELECT dst, depth + 1 FROM r JOIN e ON e.src = r.url WHERE depth < 2)
 SELECT url, min(depth)::INTEGER AS depth FROM r GROUP BY url""")
 def link_bfs(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     page = lambda c: F.concat(F.lit("https://h.example/p/"), F.col(c).cast("string"))
     pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b")).where("b is not null")
     edges = pairs.select(page("a").alias("src"), F.concat(page("b"), F.lit("#top")).alias("dst"))

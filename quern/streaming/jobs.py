@@ -31,10 +31,11 @@ def first_requests(log: DataFrame, key: str, ts: str, late: str = "7 days") -> D
     return log.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def in_flight(requests: DataFrame, user: str, started: str, seconds: str) -> DataFrame:
+def in_flight(requests: DataFrame, user: str, started: str, seconds: str, expire: bool = False) -> DataFrame:
     """Per-user lock: a request is refused while an earlier accepted one of its user is under way, or without a user.
 
-    State: end of the last accepted request of each user, dropped a day after it."""
+    State: end of the last accepted request of each user (one number), with ``expire`` dropped a day after it - for
+    streams that go on; a stream run to its end has no time to pass."""
     def step(key, batches, state):
         end = state.get[0] if state.exists else 0.0
         out = []
@@ -44,15 +45,16 @@ def in_flight(requests: DataFrame, user: str, started: str, seconds: str) -> Dat
                 if ok:
                     end = r.t + r.s
                 out.append((r.request_id, r.user_id, ok))
-        if state.hasTimedOut:
+        if expire and state.hasTimedOut:
             state.remove()
         else:
             state.update((end,))
-            state.setTimeoutDuration(86_400_000)
+            if expire:
+                state.setTimeoutDuration(86_400_000)
         yield pd.DataFrame(out, columns=["request_id", "user_id", "accepted"])
 
     rows = requests.select("request_id", F.coalesce(user, F.lit("")).alias("user_id"), F.col(started).cast("timestamp").cast("double").alias("t"), F.col(seconds).cast("double").alias("s"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, "request_id string, user_id string, accepted boolean", "end double", "append", "ProcessingTimeTimeout")
+    return rows.groupBy("user_id").applyInPandasWithState(step, "request_id string, user_id string, accepted boolean", "end double", "append", "ProcessingTimeTimeout" if expire else "NoTimeout")
 
 
 def upsert_stream(source: DataFrame, table: str, keys: list[str], order: str, checkpoint: str) -> StreamingQuery:
