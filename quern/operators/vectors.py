@@ -71,7 +71,7 @@ FIT_ROWS = 20_000
 class CellIndex:
     """Cells around centres fitted on a bounded sample; every row is filed under its nearest centre."""
 
-    def __init__(self, corpus: DataFrame, key: str, vector: str, cells: int = 16, rounds: int = 12):
+    def __init__(self, corpus: DataFrame, key: str, vector: str, cells: int = 16, rounds: int = 12, recall: float = 0.9):
         self.key, self.vector = key, vector
         sample = corpus.where(F.size(vector) > 0).orderBy(F.xxhash64(key)).limit(FIT_ROWS).select(vector).collect()
         m = _unit(np.asarray([r[0] for r in sample], dtype=np.float64)) if sample else np.zeros((1, 1))
@@ -81,8 +81,23 @@ class CellIndex:
             near = np.argmax(m @ c.T, axis=1)
             c = _unit(np.stack([m[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(len(c))]))
         self.centres = c
+        self.probes = self._probes_for(m, recall)
         self.rows = self._filed(corpus, 1)
 
+    def _probes_for(self, m: np.ndarray, recall: float, k: int = 10, asked: int = 200) -> int:
+        """Fewest cells to visit for this recall among the sample (with some reserve): for each asked row, the places
+        its nearest rows' cells take in its own order of cells."""
+        n = min(asked, len(m))
+        if len(m) < 2:
+            return len(self.centres)
+        s = m[:n] @ m.T
+        s[np.arange(n), np.arange(n)] = -np.inf
+        near = np.argsort(-s, axis=1)[:, :k]
+        home = np.argmax(m @ self.centres.T, axis=1)
+        place = np.argsort(np.argsort(-(m[:n] @ self.centres.T), axis=1), axis=1)
+        taken = np.take_along_axis(place, home[near], axis=1).ravel()
+        return int(min(len(self.centres), np.quantile(taken, min(1.0, recall + 0.03)) + 2))
+
     def _filed(self, df: DataFrame, probes: int) -> DataFrame:
         c, kind = self.centres, df.schema[self.key].dataType.simpleString()
 
@@ -94,11 +109,12 @@ class CellIndex:
 
         return df.where(F.size(self.vector) > 0).select(F.col(self.key).alias("id"), F.col(self.vector).cast("array<double>").alias("v")).mapInArrow(run, f"id {kind}, v array<double>, cell int")
 
-    def search(self, queries: DataFrame, k: int, probes: int = 6) -> DataFrame:
-        """Nearest rows within the ``probes`` cells nearest to each query: cells meet by an equi-join."""
+    def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+        """Nearest rows within the ``probes`` cells nearest to each query (default: as many as the sample needs for the
+        recall asked for): cells meet by an equi-join."""
         from quern.functions.scalars import dot, unit_vector
 
-        q = self._filed(queries, probes).select(F.col("id").alias("query_id"), unit_vector(F.col("v")).alias("q"), "cell")
+        q = self._filed(queries, probes or self.probes).select(F.col("id").alias("query_id"), unit_vector(F.col("v")).alias("q"), "cell")
         hits = self.rows.withColumn("v", unit_vector(F.col("v"))).join(q, "cell").where("id != query_id")
         s = hits.select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), 6).alias("similarity"))
         w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")

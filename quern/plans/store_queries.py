@@ -81,11 +81,11 @@ def fk_violations(spark, sf_dir):
 
 
 @query("""SELECT 'cascade' AS action, id, doc_id FROM chunks WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'ko') UNION ALL
-SELECT 'set null', id, CASE WHEN doc_id IN (SELECT doc_id FROM documents WHERE lang = 'ko') THEN doc_id END FROM document_assets""")
+SELECT 'set null', id, CASE WHEN doc_id IN (SELECT doc_id FROM documents WHERE lang = 'ko') THEN doc_id ELSE -1 END FROM document_assets""")
 def cascade_delete(spark, sf_dir):
     left = table(spark, sf_dir, "documents").where("lang = 'ko'")
     a = merge.cascade(table(spark, sf_dir, "chunks"), left, "doc_id").select(F.lit("cascade").alias("action"), "id", "doc_id")
-    return a.unionByName(merge.set_null(table(spark, sf_dir, "document_assets"), left, "doc_id").select(F.lit("set null").alias("action"), "id", "doc_id"))
+    return a.unionByName(merge.set_null(table(spark, sf_dir, "document_assets"), left, "doc_id").select(F.lit("set null").alias("action"), "id", F.coalesce("doc_id", F.lit(-1)).alias("doc_id")))
 
 
 @query("""SELECT doc_id, source, collected_at FROM (SELECT *, coalesce(max(CASE WHEN published_at < TIMESTAMP '2024-01-01' THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM documents) WHERE s = 0""")
