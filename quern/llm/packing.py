@@ -118,7 +118,7 @@ def _round(items: DataFrame, number: int, parts: int, capacity: int, last: bool)
             rows += zip(b["n"], b["rec_id"], b["piece_no"])
         if not rows:
             return
-        rows.sort(key=lambda r: (-r[0], r[1], r[2]))
+        rows.sort(key=lambda r: (-r[0], r[1] is not None, r[1], r[2]))
         sizes = [r[0] for r in rows]
         place, room = best_fit(sizes, capacity)
         bound = lower_bound(sizes, capacity)

@@ -66,10 +66,8 @@ def boundary_depths(text: str, gaps: list[tuple[int, int]]) -> list[float]:
                 right.update(units[g + BLOCK_UNITS])
         sims.append(_cosine(left, right))
     depths = [0.0] * n
-    peak = 0.0
-    rise_left = []
-    for i, s in enumerate(sims):  # the peak reached by climbing without a fall
-        peak = s if i == 0 or s > sims[i - 1] else max(peak, s) if s <= sims[i - 1] else peak
+    rise_left: list[float] = []
+    for i, s in enumerate(sims):  # how far the similarity fell from the last peak on the left
         if i and s <= sims[i - 1]:
             rise_left.append(max(rise_left[-1] + sims[i - 1] - s, 0.0))
         else:

@@ -75,13 +75,14 @@ def _fold(s: str) -> str:
 
 
 def _irregular_class() -> str:
-    """Characters that may not stand in a finished text, as ranges of a character class."""
+    """Characters that call for work on the words they stand in, as ranges of a character class."""
     bad = [cp for cp in range(0x80, 0x10000)
            if not 0xD800 <= cp <= 0xF8FF and not 0xAC00 <= cp <= 0xD7A3
            and (cp in TABLE or unicodedata.combining(chr(cp)) or 0x1100 <= cp <= 0x11FF or _fold(chr(cp)) != chr(cp))]
-    bad.append(0x09)
+    # Letters of scripts with look-alikes: a word with one of them has its spelling chosen by vocabulary.
+    bad = sorted({*bad, 0x09, *range(0x370, 0x590), *range(0x1F00, 0x2000)})
     out, start, last = [], None, None
-    for cp in [*sorted(bad), None]:
+    for cp in [*bad, None]:
         if start is not None and cp != last + 1:
             out.append(f"\\u{start:04x}-\\u{last:04x}")
             start = None
