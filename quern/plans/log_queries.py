@@ -26,15 +26,15 @@ def query(sql: str | None = None):
 
 
 # Dictionaries of these queries (parameters of the operators).
-DOMAIN = ["수강", "장학", "기숙사", "생활관", "도서관", "휴학", "복학", "졸업", "등록", "성적", "시험", "교환학생"]
-QUESTION = ["언제", "어디", "어떻게", "무엇", "얼마", "when", "where", "how", "what"]
-TIME = ["오늘", "내일", "이번", "마감", "기한", "기간", "today", "deadline"]
-SYNONYMS = {"기숙사": ["생활관"], "생활관": ["기숙사"], "등록금": ["수업료"], "장학": ["장학금"]}
-STOP = ["알려", "알려줘", "주세요", "무엇", "언제", "어떻게", "the", "what", "and", "from", "it"]
-GROUPS = {"category": {"장학": ["장학금"], "기숙사": ["생활관", "호실"], "졸업": ["학위"], "수강": ["수강신청", "수강정정"]}, "target": {"신입생": ["1학년"], "휴학생": ["휴학"], "교환학생": ["국제교류"]},
-          "time_scope": {"학기": ["1학기", "2학기", "계절학기"], "기한": ["마감", "까지"]}}
-EXPANSIONS = {"언제": ["기간", "마감"], "어떻게": ["방법", "절차"], "서류": ["제출 서류"]}
-HINTS = {"장학": ["scholarship", "notice"], "기숙사": ["dormitory"], "졸업": ["academic_notice"], "수강": ["academic_notice"]}
+DOMAIN = ["수강정정", "장학", "생활관", "도서관", "휴학", "졸업", "증명서", "무선망", "교환학생", "학점교류", "상담", "대관"]
+QUESTION = ["언제", "어디", "얼마", "몇", "누구", "when", "where", "how", "who"]
+TIME = ["오늘", "내일", "이번", "마감", "주차", "today", "deadline"]
+SYNONYMS = {"도서관": ["열람실", "상호대차"], "증명서": ["무인발급"], "무선망": ["Wi-Fi"], "대관": ["시설 예약"]}
+STOP = ["알려", "주세요", "언제", "어디", "the", "what", "and", "from"]
+GROUPS = {"category": {"도서관": ["열람석", "상호대차"], "생활관": ["야간 외출", "중간 퇴사"], "장학": ["성적우수"], "학점교류": ["교환학생"]}, "target": {"신입생": ["예비과정"], "조교": ["담당 조교"], "통학생": ["순환버스"]},
+          "time_scope": {"계절학기": ["여름 계절학기", "겨울 계절학기"], "집중학기": ["봄 집중학기"]}}
+EXPANSIONS = {"언제": ["시작", "접수"], "어디": ["위치", "건물"], "서류": ["제출"]}
+HINTS = {"도서관": ["library"], "생활관": ["dormitory"], "장학": ["scholarship"], "학점교류": ["international", "academic_notice"]}
 EXACT = {"greeting": ["안녕", "안녕하세요", "hello", "hi"], "thanks": ["고마워", "감사합니다", "thanks"]}
 ROOTS = {"greeting": ["안녕", "반가"], "thanks": ["고마", "감사"], "help": ["도와", "도움", "help"]}
 RUDE = ["멍청", "바보", "stupid", "idiot"]
@@ -71,7 +71,7 @@ def nearest_intent(spark, sf_dir):
 @query()
 def understand_questions(spark, sf_dir):
     q = table(spark, sf_dir, "query_logs").select("id", "question")
-    out = u.understand(q, "question", replacements=[("어떡해", "어떻게"), ("공지사항", "공지")], synonyms=SYNONYMS, terms=DOMAIN, stopwords=STOP, groups=GROUPS, expansions=EXPANSIONS, hints=HINTS)
+    out = u.understand(q, "question", replacements=[("몇시", "몇 시"), ("어딨", "어디 있")], synonyms=SYNONYMS, terms=DOMAIN, stopwords=STOP, groups=GROUPS, expansions=EXPANSIONS, hints=HINTS)
     return out.select("id", "normalized_query", "keywords", F.to_json("entities").alias("entities"), F.to_json("filters").alias("filters"), "category", "rewritten_queries")
 
 

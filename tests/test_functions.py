@@ -47,7 +47,7 @@ def test_forms(spark):
     assert one(spark, "report.final.PDF", lambda c: urls.extension(F.concat(F.lit("https://h/a/"), c))) == "pdf"
     assert one(spark, 'attachment; filename="a b.pdf"', text.disposition_filename) == "a b.pdf"
     assert one(spark, "attachment; filename*=UTF-8''%EA%B0%80.hwp", text.disposition_filename) == "가.hwp"
-    assert one(spark, "ＡＢＣ 어떡해??", lambda c: text.normalise_query(c, [("어떡해", "어떻게")])) == "ABC 어떻게?"
+    assert one(spark, "ＡＢＣ 몇시??", lambda c: text.normalise_query(c, [("몇시", "몇 시")])) == "ABC 몇 시?"
     assert one(spark, "a" * 10, lambda c: text.preview(c, 4)) == "aaaa..."
 
 
@@ -94,12 +94,12 @@ def test_indel_is_lcs(a, b):
 
 
 def test_understanding(spark):
-    df = spark.createDataFrame([("기숙사 언제 신청",), ("",), (None,)], "question string")
-    got = understand.understand(df, "question", synonyms={"기숙사": ["생활관"]}, terms=["기숙사", "신청"], stopwords=["언제"], groups={"category": {"기숙사": ["생활관"]}},
-                                expansions={"언제": ["기간"]}, hints={"기숙사": ["dormitory"]}).collect()
-    assert got[0].normalized_query == "기숙사 언제 신청 생활관"
-    assert got[0].keywords == ["기숙사", "신청", "생활관"] and got[0].category == "기숙사"
-    assert got[0].filters["document_category"] == ["dormitory"] and got[0].rewritten_queries[-1].endswith("기간")
+    df = spark.createDataFrame([("도서관 언제 신청",), ("",), (None,)], "question string")
+    got = understand.understand(df, "question", synonyms={"도서관": ["열람실"]}, terms=["도서관", "신청"], stopwords=["언제"], groups={"category": {"도서관": ["열람석"]}},
+                                expansions={"언제": ["기간"]}, hints={"도서관": ["library"]}).collect()
+    assert got[0].normalized_query == "도서관 언제 신청 열람실"
+    assert got[0].keywords == ["도서관", "신청", "열람실"] and got[0].category == "도서관"
+    assert got[0].filters["document_category"] == ["library"] and got[0].rewritten_queries[-1].endswith("기간")
     assert got[1].keywords == [] and got[2].category is None
 
 
