@@ -100,7 +100,7 @@ def load_model() -> dict:
 class PageModel:
     """Marginals of a page's lines."""
 
-    def __init__(self, model: dict | None = None, remembered: int = 200_000):
+    def __init__(self, model: dict | None = None, remembered: int = 100_000):
         m = model or load_model()
         self.weights, self.size, self.known = m["weights"], remembered, {}
         self.region = {k: (log(1 - p), log(p)) for k, p in m["region"].items()}
@@ -111,11 +111,13 @@ class PageModel:
         key = (line, is_title, region)
         got = self.known.get(key)
         if got is None:
-            if len(self.known) >= self.size:
-                self.known.clear()
             f, kind = features(line, is_title, region)
             w = self.weights
-            got = self.known[key] = (max(-30.0, min(30.0, sum(w.get(x, 0.0) for x in f))), kind)
+            got = (max(-30.0, min(30.0, sum(w.get(x, 0.0) for x in f))), kind)
+            if len(line) <= 80:  # only short lines come again often
+                if len(self.known) >= self.size:
+                    self.known.clear()
+                self.known[key] = got
         return got
 
     def layout(self, text: str, title: str | None) -> tuple[list[str], list[bool], list[str]]:
