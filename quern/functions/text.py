@@ -21,8 +21,10 @@ def words(c: Column, pattern: str = WORD) -> Column:
 
 def search_tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits without lone letters, one trailing particle taken off; repeats stay."""
-    runs = F.filter(words(F.lower(c)), lambda t: (F.length(t) > 1) | t.rlike("^[0-9]$"))
-    return F.filter(F.transform(runs, lambda t: F.regexp_replace(t, PARTICLES, "")), lambda t: t != "")
+    # Three passes over the whole text; a function per token would leave generated code.
+    sign = "[가-힣A-Za-z0-9]"
+    lone = F.regexp_replace(F.lower(c), f"(?<!{sign})[가-힣A-Za-z](?!{sign})", "")
+    return words(F.regexp_replace(lone, PARTICLES.removesuffix("$") + f"(?!{sign})", ""))
 
 
 def keyword_tokens(c: Column) -> Column:
@@ -40,6 +42,11 @@ def long_tokens(c: Column) -> Column:
     return words(c, "[가-힣A-Za-z0-9]{2,}")
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once: inside a lambda an outer expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, "^[\\s\\u00A0\\u3000]+|[\\s\\u00A0\\u3000]+$", "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import greedy_pack, strip
+from quern.functions.text import greedy_pack, let, strip
 
 SIZE, OVERLAP, LEAST, MAX_PER_SECTION = 900, 100, 50, 80
 HEADER = r"^\[ATTACHMENT: (.*)\]$"
@@ -66,10 +66,11 @@ def chunk_documents(docs: DataFrame, key: str, title: str, body: str, table: str
 
 def drop_repeated_lines(c: Column, least: int = 8, most: int = 3) -> Column:
     """Lines of at least ``least`` signs that are not all digits and stand more than ``most`` times leave the text."""
-    lines = F.split(c, "\n", -1)
-    key = lambda x: strip(x)
-    counted = F.filter(F.transform(lines, key), lambda x: (F.length(x) >= least) & ~x.rlike("^[0-9]+$"))
-    start = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
-    counts = F.aggregate(counted, start, lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x), F.create_map(x, F.coalesce(F.element_at(m, x), F.lit(0)) + 1)))
-    gone = F.map_keys(F.map_filter(counts, lambda _, n: n > most))
-    return F.array_join(F.filter(lines, lambda x: ~F.array_contains(gone, key(x))), "\n")
+    keys = lambda lines: F.filter(F.transform(lines, strip), lambda x: (F.length(x) >= least) & ~x.rlike("^[0-9]+$"))
+
+    def repeated(ordered: Column) -> Column:
+        # In sorted order a line that stands more often than allowed meets itself that many places further on.
+        return F.array_distinct(F.filter(ordered, lambda x, i: F.get(ordered, i + most) == x))
+
+    return let(F.split(c, "\n", -1), lambda lines: let(let(F.array_sort(keys(lines)), repeated), lambda gone: F.array_join(
+        F.filter(lines, lambda x: ~F.array_contains(gone, strip(x))), "\n")))

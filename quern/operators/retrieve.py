@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import search_tokens
+from quern.session import spread, written
 
 K1, B, TOP_K, MIN_TEXT_SCORE = 1.5, 0.75, 10, 0.5
 #: Query terms are broadcast up to this many rows, else joined by exchange.
@@ -16,9 +17,11 @@ class Index:
     """Postings (id, token, tf), lengths (id, length) and corpus statistics, all as DataFrames."""
 
     def __init__(self, docs: DataFrame, key: str, text: Column):
-        tokens = docs.select(F.col(key).alias("id"), search_tokens(text).alias("tokens")).where(F.size("tokens") > 0)
-        self.lengths = tokens.select("id", F.size("tokens").alias("length"))
-        self.postings = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("token")).groupBy("id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
+        tokens = spread(docs.select(F.col(key).alias("id"), text.alias("t"))).select("id", search_tokens(F.col("t")).alias("tokens")).where(F.size("tokens") > 0)
+        each = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+        # The index is a stored relation: texts are read once, every use reads the postings.
+        self.postings = written(each.groupBy("id", "length", "token").agg(F.count(F.lit(1)).alias("tf")), "postings")
+        self.lengths = self.postings.select("id", "length").distinct()
         self.stats = self.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_length"))
 
 
@@ -69,7 +72,7 @@ def full_text(docs: DataFrame, key: str, text: Column, terms: DataFrame, step: f
     Token matches come from an equi-join on tokens.  Substring matches are found by one pass over the texts with the
     terms as a shared automaton, so no text is paired with a query it does not match."""
     lower = F.lower(F.coalesce(text, F.lit("")))
-    base = docs.select(F.col(key).alias("id"), lower.alias("t"))
+    base = spread(docs.select(F.col(key).alias("id"), lower.alias("t")))
     small = terms.select("token").distinct()
     words = F.filter(F.regexp_extract_all(F.col("t"), F.lit("[가-힣a-z0-9]+"), F.lit(0)), lambda w: w != "")
     positions = (base.select("id", F.explode(words).alias("token")).join(_maybe_broadcast(small, BROADCAST_TERMS), "token", "left_semi")

@@ -9,6 +9,7 @@ from quern.functions.text import distinct_tokens
 from quern.operators import rank, retrieve
 from quern.operators.retrieve import Index, bm25, full_text, query_terms, top_k
 from quern.plans.tables import table
+from quern.session import written
 
 QUERIES, SQL = {}, {}
 AS_OF = "2026-07-01"
@@ -85,7 +86,7 @@ SELECT query_id, id, score, filters_relaxed, rn::INTEGER AS rank FROM (
 @query(_RELAX)
 def filter_relaxation(spark, sf_dir):
     chunks, items, index, terms = _parts(spark, sf_dir)
-    scored = bm25(index, terms)
+    scored = written(bm25(index, terms), "scored")  # used three times below
     want = items.select(F.col("item_id").alias("query_id"), F.array(F.when(F.col("item_id") % 2 == 0, "학사").otherwise("no such unit")).alias("want"))
     strict = (scored.join(chunks.select("id", "department"), "id").join(F.broadcast(want), "query_id")
               .where(retrieve.value_filter(F.col("department"), F.col("want"), exact=False)).select("query_id", "id", "score", "matched"))

@@ -41,3 +41,13 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, limit: int = 256 << 20) -> DataFrame:
+    """A small table of few files is dealt out to all cores before costly expressions; larger tables, which have
+    splits enough, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) * 2 > cores:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= limit else df
