@@ -202,3 +202,13 @@ def title_overlap(spark, sf_dir):
     items, docs = table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents")
     j = docs.join(F.broadcast(items.select("item_id", "question", "source_type")), (docs.doc_id % 240 + 1 == F.col("item_id")) & (docs.source_type == items.source_type))
     return j.select("item_id", "doc_id", F.size(F.array_intersect(distinct_tokens(F.col("question")), distinct_tokens(F.col("title")))).cast("long").alias("shared"))
+
+
+@query()
+def title_overlap_all(spark, sf_dir):
+    """As ``title_overlap`` for every question and every document, of whatever source type."""
+    items, docs = table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents")
+    asked = items.select("item_id", distinct_tokens(F.col("question")).alias("asked"), F.col("source_type").alias("want"))
+    titles = docs.select("doc_id", distinct_tokens(F.col("title")).alias("named"), "source_type")
+    return titles.crossJoin(F.broadcast(asked)).select("item_id", "doc_id", F.coalesce(F.col("source_type") == F.col("want"), F.lit(False)).alias("same_source"),
+                                                       F.size(F.array_intersect("asked", "named")).cast("long").alias("shared"))
