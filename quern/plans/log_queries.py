@@ -181,3 +181,13 @@ def orders_by_region(spark, sf_dir):
 def parts_by_supplier(spark, sf_dir):
     li, p, s = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
     return li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey).groupBy("p_brand", "s_nationkey").agg(F.sum("l_quantity").alias("qty"), F.countDistinct("l_orderkey").alias("orders"))
+
+
+@query()
+def log_star_all(spark, sf_dir):
+    """Every query of the log beside the events of its user, and the users with events alone: ``u_00042`` of the log is
+    user 42 of the events; other names (as of kiosks) and null have none."""
+    one = latest(table(spark, sf_dir, "query_logs"), ["request_id"], [F.desc_nulls_last("loaded_at"), F.desc("id")]).select("request_id", "user_id")
+    one = one.withColumn("number", F.when(F.col("user_id").rlike("^u_[0-9]{1,18}$"), F.substring("user_id", 3, 18)).try_cast("long"))
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("event_user")).agg(F.count(F.lit(1)).alias("n_events"), F.round(F.sum("value"), 4).alias("total"))
+    return one.join(e, F.col("number") == F.col("event_user"), "full").select("request_id", "user_id", "event_user", "n_events", "total")

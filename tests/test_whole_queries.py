@@ -25,3 +25,24 @@ def test_title_overlap_all(spark):
     assert len(got) == len(want) and {(r.item_id, r.doc_id): (r.same_source, r.shared) for r in got} == want
     part = {(r.item_id, r.doc_id): r.shared for r in registry.queries()["title_overlap"](spark, str(DATA)).collect()}
     assert part and part == {k: want[k][1] for k in part}
+
+
+def test_log_star_all(spark):
+    last = {}
+    for r in rows("query_logs", "id", "request_id", "user_id", "loaded_at"):
+        key = (r["loaded_at"] is not None, r["loaded_at"], r["id"])
+        if r["request_id"] not in last or key > last[r["request_id"]][0]:
+            last[r["request_id"]] = (key, r["user_id"])
+    events = {}
+    for r in rows("events", "user_id", "value"):
+        n, total = events.get(r["user_id"], (0, 0.0))
+        events[r["user_id"]] = (n + 1, total + (r["value"] or 0))
+    number = lambda u: int(u[2:]) if u and re.fullmatch("u_[0-9]+", u) else None
+    want = [(q, u, number(u) if number(u) in events else None, events.get(number(u), (None,))[0]) for q, (_, u) in last.items()]
+    asked = {number(u) for _, u in last.values()}
+    want += [(None, None, u, n) for u, (n, _) in events.items() if u not in asked]
+    got = registry.queries()["log_star_all"](spark, str(DATA)).collect()
+    order = lambda x: tuple(map(str, x))
+    assert sorted(((r.request_id, r.user_id, r.event_user, r.n_events) for r in got), key=order) == sorted(want, key=order)
+    assert all(abs(r.total - events[r.event_user][1]) < 1e-3 for r in got if r.event_user is not None)
+    assert {r.event_user for r in got} - {None} == set(events)
