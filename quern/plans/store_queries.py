@@ -94,17 +94,32 @@ def stop_at_date(spark, sf_dir):
     return merge.before_stop(d, "source", "doc_id", F.col("published_at") < F.lit("2024-01-01").cast("timestamp_ntz")).select("doc_id", "source", "collected_at")
 
 
+def _page(c):
+    return F.concat(F.lit("https://h.example/p/"), F.col(c).cast("string"))
+
+
+def _links(spark, sf_dir):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b")).where("b is not null")
+    return pairs.select(_page("a").alias("src"), F.concat(_page("b"), F.lit("#top")).alias("dst"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 'https://h.example/p/' || a AS src, 'https://h.example/p/' || b AS dst FROM
  (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem) WHERE b IS NOT NULL),
 r AS (SELECT 'https://h.example/p/' || p_partkey AS url, 0 AS depth FROM part WHERE p_partkey <= 3 UNION SELECT dst, depth + 1 FROM r JOIN e ON e.src = r.url WHERE depth < 2)
 SELECT url, min(depth)::INTEGER AS depth FROM r GROUP BY url""")
 def link_bfs(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    page = lambda c: F.concat(F.lit("https://h.example/p/"), F.col(c).cast("string"))
-    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b")).where("b is not null")
-    edges = pairs.select(page("a").alias("src"), F.concat(page("b"), F.lit("#top")).alias("dst"))
-    seeds = table(spark, sf_dir, "part").where("p_partkey <= 3").select(page("p_partkey").alias("url"))
-    return crawl.reach(edges, seeds, 2, ["h.example"]).select("url", "depth")
+    seeds = table(spark, sf_dir, "part").where("p_partkey <= 3").select(_page("p_partkey").alias("url"))
+    return crawl.reach(_links(spark, sf_dir), seeds, 2, ["h.example"]).select("url", "depth")
+
+
+@query()
+def link_bfs_all(spark, sf_dir):
+    """As ``link_bfs`` from all parts of the largest size, a share of the table at every scale."""
+    parts = table(spark, sf_dir, "part")
+    largest = parts.agg(F.max("p_size").alias("p_size"))
+    seeds = parts.join(F.broadcast(largest), "p_size").select(_page("p_partkey").alias("url"))
+    return crawl.reach(_links(spark, sf_dir), seeds, 2, ["h.example"]).select("url", "depth")
 
 
 @query("""WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),

@@ -46,3 +46,21 @@ def test_log_star_all(spark):
     assert sorted(((r.request_id, r.user_id, r.event_user, r.n_events) for r in got), key=order) == sorted(want, key=order)
     assert all(abs(r.total - events[r.event_user][1]) < 1e-3 for r in got if r.event_user is not None)
     assert {r.event_user for r in got} - {None} == set(events)
+
+
+def test_link_bfs_all(spark):
+    orders, edges = {}, {}
+    for r in rows("lineitem", "l_orderkey", "l_linenumber", "l_partkey"):
+        orders.setdefault(r["l_orderkey"], []).append((r["l_linenumber"], r["l_partkey"]))
+    for lines in orders.values():
+        parts = [p for _, p in sorted(lines)]
+        for a, b in zip(parts, parts[1:]):
+            edges.setdefault(a, set()).add(b)
+    parts = rows("part", "p_partkey", "p_size")
+    largest = max(r["p_size"] for r in parts)
+    want = {r["p_partkey"]: 0 for r in parts if r["p_size"] == largest}
+    for depth in (1, 2):
+        for p in {b for a, d in want.items() if d == depth - 1 for b in edges.get(a, ())} - set(want):
+            want[p] = depth
+    got = {int(r.url.rsplit("/", 1)[1]): r.depth for r in registry.queries()["link_bfs_all"](spark, str(DATA)).collect()}
+    assert got == want
