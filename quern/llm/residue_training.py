@@ -1,8 +1,9 @@
 """Training of the template classifier.
 
 ``python -m quern.llm.residue_training PAGES.parquet ASSETS.parquet ...`` (pairs).
-Lines are labelled by the annotation rules below; at most ``MAX_LINES`` labelled
-lines of each pair of tables are used.
+Lines are labelled by the annotation rules below; past the first ``MAX_LINES``
+lines of each pair of tables ordinary lines are left out, residue lines are all
+used.
 """
 
 from __future__ import annotations
