@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -27,6 +28,29 @@ def search_tokens(c: Column) -> Column:
     return words(F.regexp_replace(lone, PARTICLES.removesuffix("$") + f"(?!{sign})", ""))
 
 
+_RUN, _PARTICLE = re.compile("[가-힣a-z0-9]+"), re.compile(PARTICLES)
+
+
+class SearchTokens:
+    """``search_tokens`` of a Python string, for passes that need more than the tokens; recent words are remembered."""
+
+    def __init__(self, remembered: int = 200_000):
+        self.known: dict[str, str] = {}
+        self.size = remembered
+
+    def __call__(self, s: str) -> list[str]:
+        known, out = self.known, []
+        for w in _RUN.findall(s.lower()):
+            t = known.get(w)
+            if t is None:
+                if len(known) >= self.size:
+                    known.clear()
+                t = known[w] = "" if len(w) == 1 and not w.isdigit() else _PARTICLE.sub("", w)
+            if t:
+                out.append(t)
+        return out
+
+
 def keyword_tokens(c: Column) -> Column:
     """As ``search_tokens`` in the given letter case; a particle leaves only a word of two or more signs."""
     return F.filter(F.transform(words(c), lambda t: F.when(F.length(t) > 1, F.regexp_replace(t, PARTICLES, "")).otherwise(t)), lambda t: t != "")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import first_filled
-from quern.functions.text import distinct_tokens
+from quern.functions.text import PARTICLES, distinct_tokens
 from quern.operators import rank, retrieve
-from quern.operators.retrieve import Index, bm25, full_text, query_terms, top_k
+from quern.operators.retrieve import Index, best, bm25, full_text, query_terms, top_k
 from quern.plans.tables import table
-from quern.session import written
+from quern.session import table_version, written
 
 QUERIES, SQL = {}, {}
 AS_OF = "2026-07-01"
@@ -26,7 +26,7 @@ def query(sql: str | None = None):
     return add
 
 
-TOKENS = "list_filter(list_transform(list_filter(regexp_extract_all(lower({0}), '[가-힣A-Za-z0-9]+'), lambda t: length(t) > 1 OR regexp_matches(t, '^[0-9]$')), lambda t: regexp_replace(t, '(은|는|이|가|을|를|에|의|로|으로|에서|부터|까지|도)$', '')), lambda t: t <> '')"
+TOKENS = "list_filter(list_transform(list_filter(regexp_extract_all(lower({0}), '[가-힣A-Za-z0-9]+'), lambda t: length(t) > 1 OR regexp_matches(t, '^[0-9]$')), lambda t: regexp_replace(t, '" + PARTICLES + "', '')), lambda t: t <> '')"
 _TEXT = "coalesce(title, '') || chr(10) || coalesce(content, '')"
 _BASE = f"""
 tok AS (SELECT id, {TOKENS.format(_TEXT)} AS tokens FROM chunks),
@@ -40,18 +40,22 @@ bm AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
 _ORDER = "score DESC, published_at DESC NULLS LAST, c.chunk_id DESC, c.id DESC"
 
 
-def _parts(spark, sf_dir):
-    chunks, items = table(spark, sf_dir, "chunks"), table(spark, sf_dir, "eval_items")
-    index = Index(chunks, "id", F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit(""))))
-    return chunks, items, index, query_terms(items, "item_id", F.col("question"))
+def _index(spark, sf_dir):
+    """The stored index of the chunks as they are now; the first query of a version builds it."""
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
+    return Index(table(spark, sf_dir, "chunks"), "id", text, table_version(spark, f"{sf_dir}/chunks.parquet"))
 
 
-_CHUNK_COLUMNS = ["id", "chunk_id", "doc_id", "title", "content", "source_type", "source_url", "department", "published_at"]
+def _parts(spark, sf_dir):
+    chunks, items = table(spark, sf_dir, "chunks"), table(spark, sf_dir, "eval_items")
+    return chunks, items, _index(spark, sf_dir), query_terms(items, "item_id", F.col("question"))
 
 
-def _ranked(scored, chunks, k, *extra):
-    rows = scored.join(chunks.select(*_CHUNK_COLUMNS), "id")
-    return top_k(rows, k, [F.desc("score"), F.desc_nulls_last("published_at"), F.desc("chunk_id"), F.desc("id")])
+_KEYS = ["id", "chunk_id", "published_at"]
+_ROW = ["id", "doc_id", "title", "content", "source_type", "source_url", "department"]
+def _ranked(scored, chunks, k):
+    """First ``k`` of each query: cut by score, ties ordered by the keys of the chunk."""
+    return top_k(best(scored, k).join(chunks.select(*_KEYS), "id"), k, [F.desc("score"), F.desc_nulls_last("published_at"), F.desc("chunk_id"), F.desc("id")])
 
 
 @query(f"""WITH {_BASE}
@@ -70,8 +74,9 @@ def bm25_filtered(spark, sf_dir):
     """The question's source type filters the rows, not the statistics."""
     chunks, items, index, terms = _parts(spark, sf_dir)
     want = items.select(F.col("item_id").alias("query_id"), F.array("source_type").alias("want"))
-    hits = bm25(index, terms).join(chunks.select(*_CHUNK_COLUMNS), "id").join(F.broadcast(want), "query_id").where(retrieve.value_filter(F.col("source_type"), F.col("want"), exact=True))
-    return top_k(hits, 10, [F.desc("score"), F.desc_nulls_last("published_at"), F.desc("chunk_id"), F.desc("id")]).select("query_id", "id", "score", "rank")
+    hits = (bm25(index, terms).join(chunks.select("id", "source_type"), "id").join(F.broadcast(want), "query_id")
+            .where(retrieve.value_filter(F.col("source_type"), F.col("want"), exact=True)).select("query_id", "id", "score"))
+    return _ranked(hits, chunks, 10).select("query_id", "id", "score", "rank")
 
 
 _RELAX = f"""WITH {_BASE},
@@ -86,11 +91,12 @@ SELECT query_id, id, score, filters_relaxed, rn::INTEGER AS rank FROM (
 @query(_RELAX)
 def filter_relaxation(spark, sf_dir):
     chunks, items, index, terms = _parts(spark, sf_dir)
-    scored = written(bm25(index, terms), "scored")  # used three times below
+    scored = bm25(index, terms).select("query_id", "id", "score")
     want = items.select(F.col("item_id").alias("query_id"), F.array(F.when(F.col("item_id") % 2 == 0, "학사").otherwise("no such unit")).alias("want"))
     strict = (scored.join(chunks.select("id", "department"), "id").join(F.broadcast(want), "query_id")
-              .where(retrieve.value_filter(F.col("department"), F.col("want"), exact=False)).select("query_id", "id", "score", "matched"))
-    both = retrieve.relax(strict, scored.select("query_id", "id", "score", "matched"))
+              .where(retrieve.value_filter(F.col("department"), F.col("want"), exact=False)).select("query_id", "id", "score"))
+    # A query has a strict result if it has a best one, so both sides are cut before they meet.
+    both = retrieve.relax(written(best(strict, 5), "strict"), best(scored, 5))
     return _ranked(both, chunks, 5).select("query_id", "id", "score", "filters_relaxed", "rank")
 
 
@@ -115,14 +121,14 @@ def fts_topk(spark, sf_dir):
     rows = chunks.join(docs, "doc_id")
     terms = query_terms(items, "item_id", F.col("question")).where(~retrieve.weak_term(F.col("token"), STOPWORDS))
     text = F.concat(F.coalesce("d_title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
-    scored = full_text(rows, "id", text, terms).join(chunks.select("id", "chunk_id", "published_at"), "id")
+    scored = best(full_text(rows, "id", text, terms, k=30), 30).join(chunks.select(*_KEYS), "id")
     out = top_k(scored, 30, [F.desc("score"), F.desc_nulls_last("published_at"), "chunk_id", "id"])
     return out.where(F.col("score") >= retrieve.MIN_TEXT_SCORE).select("query_id", "id", "score", "rank")
 
 
 def _hits(spark, sf_dir):
     chunks, items, index, terms = _parts(spark, sf_dir)
-    rows = _ranked(bm25(index, terms), chunks, 10)
+    rows = _ranked(bm25(index, terms), chunks, 10).join(chunks.select(*_ROW), "id")  # texts of the survivors alone
     asked = items.select(F.col("item_id").alias("query_id"), F.col("question").alias("query"), F.array().cast("array<string>").alias("keywords"), F.array(F.col("source_type")).alias("expected_values"))
     return (rows.join(F.broadcast(asked), "query_id")
             .withColumns({"category": F.col("source_type"), "published_on": F.to_date("published_at")}))
@@ -183,17 +189,17 @@ def answer_batch(spark, sf_dir):
 
 @query(f"SELECT id, token, count(*) AS tf FROM (SELECT id, unnest({TOKENS.format(_TEXT)}) AS token FROM chunks) GROUP BY ALL")
 def term_frequency(spark, sf_dir):
-    return _parts(spark, sf_dir)[2].postings.select("id", "token", "tf")
+    return _index(spark, sf_dir).postings.select("id", "token", "tf")
 
 
 @query(f"SELECT token, count(DISTINCT id) AS df FROM (SELECT id, unnest({TOKENS.format(_TEXT)}) AS token FROM chunks) GROUP BY token")
 def document_frequency(spark, sf_dir):
-    return _parts(spark, sf_dir)[2].postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return _index(spark, sf_dir).frequencies
 
 
 @query(f"SELECT count(*) AS n_docs, round(coalesce(avg(len(t)), 0), 6) AS avg_length FROM (SELECT {TOKENS.format(_TEXT)} AS t FROM chunks) WHERE len(t) > 0")
 def corpus_statistics(spark, sf_dir):
-    return _parts(spark, sf_dir)[2].stats.select("n_docs", F.round("avg_length", 6).alias("avg_length"))
+    return _index(spark, sf_dir).stats.select("n_docs", F.round("avg_length", 6).alias("avg_length"))
 
 
 @query("""SELECT e.item_id, d.doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(e.question), '[가-힣A-Za-z0-9]+')), list_distinct(regexp_extract_all(lower(d.title), '[가-힣A-Za-z0-9]+')))) AS shared

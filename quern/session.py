@@ -46,8 +46,31 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
 def spread(df: DataFrame, limit: int = 256 << 20) -> DataFrame:
     """A small table of few files is dealt out to all cores before costly expressions; larger tables, which have
     splits enough, stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) * 2 > cores:
-        return df
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size <= limit else df
+    if size > limit:  # the files of a large table are never listed here
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) * 2 > cores else df.repartition(cores)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, fs = _file_system(spark, path)
+    return fs.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, fs = _file_system(spark, path)
+    fs.delete(where, True)
+
+
+def table_version(spark: SparkSession, path: str) -> str:
+    """A name for the present content of a file table: its path, last change, number of files and bytes (read from the
+    file system's summary, without listing files to the driver)."""
+    where, fs = _file_system(spark, path)
+    status, summary = fs.getFileStatus(where), fs.getContentSummary(where)
+    return f"{path}|{status.getModificationTime()}|{summary.getFileCount()}|{summary.getLength()}"
