@@ -34,9 +34,15 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], keep: list[str
     return rest.unionByName(s, allowMissingColumns=True)
 
 
-def insert_absent(history: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """History and those rows of ``source`` whose key it does not hold (the first of equal keys is not chosen here:
-    ``source`` must be unique by key)."""
+def insert_absent(history: DataFrame, source: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """History and those rows of ``source`` whose key it does not hold, of rows with one key the first in ``order``
+    (by default of all columns, so the choice does not depend on arrival).  A key with a null is never held: all its
+    rows are inserted, as a unique constraint would let them."""
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    one = latest(source.where(whole), keys, order or [F.col(c).asc_nulls_last() for c in sorted(source.columns)]).unionByName(source.where(~whole))
+    source = one
     return history.unionByName(source.join(history.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
 
 

@@ -98,12 +98,16 @@ def intent_by_day(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users")))
 
 
-@query(f"""SELECT q.request_id, q.user_id, e.n_events, e.total FROM {_ONE} q LEFT JOIN (SELECT user_id, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY user_id) e
- ON e.user_id = (hash_id(q.id)) WHERE q.n = 1""".replace("hash_id(q.id)", "q.id % 100"))
+@query(f"""SELECT q.request_id, q.user_id, e.user_id AS event_user, e.n_events, e.total FROM
+ (SELECT request_id, user_id, CASE WHEN regexp_full_match(user_id, 'u_[0-9]{{1,18}}') THEN try_cast(substring(user_id, 3) AS BIGINT) END AS number FROM {_ONE} WHERE n = 1) q
+ FULL JOIN (SELECT user_id, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY user_id) e ON e.user_id = q.number""")
 def log_star(spark, sf_dir):
-    one = latest(table(spark, sf_dir, "query_logs"), ["request_id"], [F.desc_nulls_last("loaded_at"), F.desc("id")])
-    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("u")).agg(F.count(F.lit(1)).alias("n_events"), F.round(F.sum("value"), 4).alias("total"))
-    return one.join(e, one.id % 100 == e.u, "left").select("request_id", "user_id", "n_events", "total")
+    """Every query of the log beside the events of its user, and the users with events alone: ``u_00042`` of the log is
+    user 42 of the events; other names (as of kiosks) and null have none."""
+    one = latest(table(spark, sf_dir, "query_logs"), ["request_id"], [F.desc_nulls_last("loaded_at"), F.desc("id")]).select("request_id", "user_id")
+    one = one.withColumn("number", F.when(F.col("user_id").rlike("^u_[0-9]{1,18}$"), F.substring("user_id", 3, 18)).try_cast("long"))
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("event_user")).agg(F.count(F.lit(1)).alias("n_events"), F.round(F.sum("value"), 4).alias("total"))
+    return one.join(e, F.col("number") == F.col("event_user"), "full").select("request_id", "user_id", "event_user", "n_events", "total")
 
 
 @query("""SELECT event_id, user_id, coalesce(ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 60 SECONDS, false) AS overlapping FROM events""")
@@ -126,19 +130,22 @@ def event_windows(spark, sf_dir):
     return e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
 
 
-def _run(stream, mode):
-    """Runs a finite stream to its end into a table of the shared folder or memory; returns what it wrote."""
-    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/cp-{name}").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def _run(stream, mode="append"):
+    """Runs a finite stream to its end into files of the shared folder; returns what it wrote."""
+    spark, where = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    schema = stream.schema
+    (stream.writeStream.outputMode(mode).format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state")
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(schema).parquet(f"{where}/out")
 
 
-@query(_WINDOWS)
+@query(f"SELECT * FROM ({_WINDOWS}) WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOURS FROM events)")
 def stream_event_windows(spark, sf_dir):
-    """The same counts from a stream with watermark, run to its end."""
+    """Counts from a stream run to its end: a window is written once the watermark, two hours behind the latest event,
+    has passed it; later windows stay open."""
     schema = table(spark, sf_dir, "events").schema
     s = jobs.file_stream(spark, f"{sf_dir}/", schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = _run(jobs.window_counts(s, "ts", "event_type", "value"), "complete")
+    out = _run(jobs.window_counts(s, "ts", "event_type", "value"))
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -151,12 +158,16 @@ def event_sessions(spark, sf_dir):
             .select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("session_start"), F.col("session_window.end").cast("timestamp_ntz").alias("session_end"), "n"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR) AS n FROM events),
+r AS (SELECT event_id, user_id, n, true AS ok, ts + INTERVAL 60 SECONDS AS free FROM o WHERE n = 1
+ UNION ALL SELECT o.event_id, o.user_id, o.n, o.ts >= r.free, CASE WHEN o.ts >= r.free THEN o.ts + INTERVAL 60 SECONDS ELSE r.free END FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+SELECT event_id::VARCHAR AS request_id, user_id::VARCHAR AS user_id, ok AS accepted FROM r""")
 def stream_in_flight(spark, sf_dir):
+    """Each event as a request of 60 seconds: refused while an accepted one of its user is under way."""
     schema = table(spark, sf_dir, "events").schema
     s = jobs.file_stream(spark, f"{sf_dir}/", schema, "events.parquet")
     req = s.select(F.col("event_id").cast("string").alias("request_id"), F.col("user_id").cast("string").alias("user"), F.col("ts").alias("started"), F.lit(60.0).alias("seconds"))
-    return _run(jobs.in_flight(req, "user", "started", "seconds"), "append")
+    return _run(jobs.in_flight(req, "user", "started", "seconds"))
 
 
 # ---- star schema
@@ -182,12 +193,3 @@ def parts_by_supplier(spark, sf_dir):
     li, p, s = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
     return li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey).groupBy("p_brand", "s_nationkey").agg(F.sum("l_quantity").alias("qty"), F.countDistinct("l_orderkey").alias("orders"))
 
-
-@query()
-def log_star_all(spark, sf_dir):
-    """Every query of the log beside the events of its user, and the users with events alone: ``u_00042`` of the log is
-    user 42 of the events; other names (as of kiosks) and null have none."""
-    one = latest(table(spark, sf_dir, "query_logs"), ["request_id"], [F.desc_nulls_last("loaded_at"), F.desc("id")]).select("request_id", "user_id")
-    one = one.withColumn("number", F.when(F.col("user_id").rlike("^u_[0-9]{1,18}$"), F.substring("user_id", 3, 18)).try_cast("long"))
-    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("event_user")).agg(F.count(F.lit(1)).alias("n_events"), F.round(F.sum("value"), 4).alias("total"))
-    return one.join(e, F.col("number") == F.col("event_user"), "full").select("request_id", "user_id", "event_user", "n_events", "total")

@@ -202,19 +202,14 @@ def corpus_statistics(spark, sf_dir):
     return _index(spark, sf_dir).stats.select("n_docs", F.round("avg_length", 6).alias("avg_length"))
 
 
-@query("""SELECT e.item_id, d.doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(e.question), '[가-힣A-Za-z0-9]+')), list_distinct(regexp_extract_all(lower(d.title), '[가-힣A-Za-z0-9]+')))) AS shared
-FROM eval_items e JOIN documents d ON d.source_type = e.source_type AND d.doc_id % 240 + 1 = e.item_id""")
+@query("""WITH e AS (SELECT item_id, source_type, list_distinct(regexp_extract_all(lower(question), '[가-힣A-Za-z0-9]+')) AS q FROM eval_items),
+d AS (SELECT doc_id, source_type, list_distinct(regexp_extract_all(lower(title), '[가-힣A-Za-z0-9]+')) AS t FROM documents)
+SELECT item_id, doc_id, coalesce(d.source_type = e.source_type, false) AS same_source, len(list_intersect(q, t)) AS shared FROM e, d WHERE len(list_intersect(q, t)) > 0""")
 def title_overlap(spark, sf_dir):
+    """Every question against every document: tokens that question and title share.  Pairs meet by token, so a pair
+    without one is never formed."""
     items, docs = table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents")
-    j = docs.join(F.broadcast(items.select("item_id", "question", "source_type")), (docs.doc_id % 240 + 1 == F.col("item_id")) & (docs.source_type == items.source_type))
-    return j.select("item_id", "doc_id", F.size(F.array_intersect(distinct_tokens(F.col("question")), distinct_tokens(F.col("title")))).cast("long").alias("shared"))
-
-
-@query()
-def title_overlap_all(spark, sf_dir):
-    """As ``title_overlap`` for every question and every document, of whatever source type."""
-    items, docs = table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents")
-    asked = items.select("item_id", distinct_tokens(F.col("question")).alias("asked"), F.col("source_type").alias("want"))
-    titles = docs.select("doc_id", distinct_tokens(F.col("title")).alias("named"), "source_type")
-    return titles.crossJoin(F.broadcast(asked)).select("item_id", "doc_id", F.coalesce(F.col("source_type") == F.col("want"), F.lit(False)).alias("same_source"),
-                                                       F.size(F.array_intersect("asked", "named")).cast("long").alias("shared"))
+    asked = items.select("item_id", F.col("source_type").alias("want"), F.explode(distinct_tokens(F.col("question"))).alias("token"))
+    named = docs.select("doc_id", "source_type", F.explode(distinct_tokens(F.col("title"))).alias("token"))
+    return (named.join(asked, "token").groupBy("item_id", "doc_id", "want", "source_type").agg(F.count(F.lit(1)).alias("shared"))
+            .select("item_id", "doc_id", F.coalesce(F.col("source_type") == F.col("want"), F.lit(False)).alias("same_source"), "shared"))

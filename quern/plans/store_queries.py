@@ -106,16 +106,10 @@ def _links(spark, sf_dir):
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 'https://h.example/p/' || a AS src, 'https://h.example/p/' || b AS dst FROM
  (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem) WHERE b IS NOT NULL),
-r AS (SELECT 'https://h.example/p/' || p_partkey AS url, 0 AS depth FROM part WHERE p_partkey <= 3 UNION SELECT dst, depth + 1 FROM r JOIN e ON e.src = r.url WHERE depth < 2)
+r AS (SELECT 'https://h.example/p/' || p_partkey AS url, 0 AS depth FROM part WHERE p_size = (SELECT max(p_size) FROM part) UNION SELECT dst, depth + 1 FROM r JOIN e ON e.src = r.url WHERE depth < 2)
 SELECT url, min(depth)::INTEGER AS depth FROM r GROUP BY url""")
 def link_bfs(spark, sf_dir):
-    seeds = table(spark, sf_dir, "part").where("p_partkey <= 3").select(_page("p_partkey").alias("url"))
-    return crawl.reach(_links(spark, sf_dir), seeds, 2, ["h.example"]).select("url", "depth")
-
-
-@query()
-def link_bfs_all(spark, sf_dir):
-    """As ``link_bfs`` from all parts of the largest size, a share of the table at every scale."""
+    """Pages reached in two steps from all parts of the largest size, a share of the table at every scale."""
     parts = table(spark, sf_dir, "part")
     largest = parts.agg(F.max("p_size").alias("p_size"))
     seeds = parts.join(F.broadcast(largest), "p_size").select(_page("p_partkey").alias("url"))

@@ -34,24 +34,27 @@ def first_requests(log: DataFrame, key: str, ts: str, late: str = "7 days") -> D
 def in_flight(requests: DataFrame, user: str, started: str, seconds: str, expire: bool = False) -> DataFrame:
     """Per-user lock: a request is refused while an earlier accepted one of its user is under way, or without a user.
 
-    State: end of the last accepted request of each user (one number), with ``expire`` dropped a day after it - for
+    A trigger's requests of one user are numbers of a few bytes and held together; a source with ``maxFilesPerTrigger``
+    bounds them.  State: end of the last accepted request of each user (one number), with ``expire`` dropped a day after it - for
     streams that go on; a stream run to its end has no time to pass."""
     def step(key, batches, state):
         end = state.get[0] if state.exists else 0.0
+        # A user's requests of a trigger come in several Arrow batches, in no order: they are put in order as a whole.
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["t", "request_id"], kind="stable")
         out = []
-        for b in batches:
-            for r in b.sort_values(["t", "request_id"]).itertuples(index=False):
-                ok = bool(r.user_id) and r.t >= end
-                if ok:
-                    end = r.t + r.s
-                out.append((r.request_id, r.user_id, ok))
+        for r in rows.itertuples(index=False):
+            ok = bool(r.user_id) and r.t >= end
+            if ok:
+                end = r.t + r.s
+            out.append((r.request_id, r.user_id, ok))
         if expire and state.hasTimedOut:
             state.remove()
         else:
             state.update((end,))
             if expire:
                 state.setTimeoutDuration(86_400_000)
-        yield pd.DataFrame(out, columns=["request_id", "user_id", "accepted"])
+        for at in range(0, len(out), 10_000):
+            yield pd.DataFrame(out[at:at + 10_000], columns=["request_id", "user_id", "accepted"])
 
     rows = requests.select("request_id", F.coalesce(user, F.lit("")).alias("user_id"), F.col(started).cast("timestamp").cast("double").alias("t"), F.col(seconds).cast("double").alias("s"))
     return rows.groupBy("user_id").applyInPandasWithState(step, "request_id string, user_id string, accepted boolean", "end double", "append", "ProcessingTimeTimeout" if expire else "NoTimeout")

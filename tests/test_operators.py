@@ -30,7 +30,7 @@ def test_snapshot_edges(spark):
 
 
 def test_snapshot_index_swaps(spark):
-    index = SnapshotIndex(spark, "doc_id", "content_hash", "delivered_at", buckets=2)
+    index = SnapshotIndex(spark, "doc_id", "content_hash", "delivered_at", buckets=2, values=["source"])
     df = lambda rows: spark.createDataFrame([(1, *r) for r in rows], SNAP)
     assert index.apply(df([(1, "a", T, "old"), (2, "b", T, "old")])).count() == 2
     got = {r.doc_id: r for r in index.apply(df([(1, "a2", T, "new"), (3, "c", T, "new")]), with_old=True).collect()}
@@ -51,6 +51,38 @@ def test_probe_moves_nothing(spark):
     assert "Exchange" not in plan
 
 
+def test_neither_probe_nor_fetch_moves_the_index(spark):
+    index = SnapshotIndex(spark, "doc_id", "content_hash", "delivered_at", buckets=4, values=["source"])
+    df = lambda k: spark.createDataFrame([(1, i, str(k * i), T, f"s{k}") for i in range(50)], SNAP)
+    index.apply(df(1))
+    new = index._store(df(2))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda old: index.probe(new, old)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan(False)
+        # For the old values the changes alone move to the buckets of the index, which stays where it is.
+        assert plan(True).count("Exchange") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_snapshot_numbers_and_overwritten_deliveries(spark, tmp_path):
+    rows = [(20260101, 1, "a", T, "x"), (20260101, 2, "b", T, "x"), (20260201, 1, "a", T, "x"), (20260201, 3, "c", T, "x")]
+    df = spark.createDataFrame(rows, SNAP)
+    args = ("snapshot", "doc_id", "content_hash", "delivered_at")
+    got = sorted(tuple(r) for r in snapshot_changes(df, *args, buckets=2, missing_is_empty=False).collect())
+    assert got == [(20260201, 2, "removed"), (20260201, 3, "added")]
+    got = sorted(tuple(r) for r in snapshot_changes(df, *args, buckets=2).collect())  # a month of empty numbers is one step
+    assert got == [(20260102, 1, "removed"), (20260102, 2, "removed"), (20260201, 1, "added"), (20260201, 3, "added")]
+    # One folder overwritten by each delivery: the old value is that of the delivery before.
+    path, index = str(tmp_path / "d"), SnapshotIndex(spark, "doc_id", "content_hash", "delivered_at", buckets=2, values=["source"])
+    for h, source in (("a", "first"), ("b", "second")):
+        spark.createDataFrame([(1, 1, h, T, source)], SNAP).write.mode("overwrite").parquet(path)
+        changes = index.apply(spark.read.parquet(path), with_old=True)
+    assert [(r.change_type, '"source":"first"' in r.old_row) for r in changes.collect()] == [("changed", True)]
+    index.close()
+
+
 def test_merge(spark):
     t = spark.createDataFrame([(1, "a", "c1"), (2, "b", "c2")], "k int, v string, created string")
     s = spark.createDataFrame([(2, "B"), (3, "C")], "k int, v string")
@@ -61,6 +93,8 @@ def test_merge(spark):
         spark.createDataFrame([(1, "h"), (2, None), (3, "x")], "k int, content_hash string").withColumn("version", F.lit(0)),
         spark.createDataFrame([(1, "h", 4), (2, "g", 1)], "k int, content_hash string, version int"), ["k"]).collect()}
     assert d == {1: ("unchanged", 4), 2: ("updated", 2), 3: ("new", 1)}
+    twice = spark.createDataFrame([(2, "x"), (7, "b"), (7, "a"), (None, "n"), (None, "n")], "k int, v string")
+    assert sorted((r.k or 0, r.v) for r in merge.insert_absent(t.select("k", "v"), twice, ["k"]).collect()) == [(0, "n"), (0, "n"), (1, "a"), (2, "b"), (7, "a")]
     p = spark.createDataFrame([(1,)], "k int")
     assert [r.k for r in merge.orphans(t, p, "k").collect()] == [2]
     assert sorted((r.k is None) for r in merge.set_null(t, p, "k").collect()) == [False, True]
