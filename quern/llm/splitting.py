@@ -20,14 +20,17 @@ from math import sqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.text import PARTICLES
 from quern.llm.arrow import map_rows
 
 LIMIT, OVERLAP = 900, 100
-#: Words in each of the two blocks compared at a gap; a cut is sought in the last part of a window.
+#: Units (sentences, lines) in each of the two blocks compared at a gap; a cut is sought in the last part of a window.
 BLOCK_UNITS, WINDOW_START = 3, 0.5
 _GAP = re.compile(r"\n[ \t]*\n\s*|\n|(?<=[.!?。…])[ \t　]+|(?<=다\.)(?=\S)")
 _BLANK = re.compile(r"\s+")
 _WORD = re.compile(r"\w{2,}")
+#: A Korean word is compared without its particle, so one noun is one word.
+_PARTICLE = re.compile(PARTICLES)
 
 
 def _gaps(text: str) -> list[tuple[int, int]]:
@@ -51,7 +54,7 @@ def _cosine(a: Counter, b: Counter) -> float:
 def boundary_depths(text: str, gaps: list[tuple[int, int]]) -> list[float]:
     """Depth of the cohesion valley at each gap: fall from the peaks on both sides."""
     edges = [0, *(p for p, _ in gaps), len(text)]
-    units = [Counter(w[:3].lower() for w in _WORD.findall(text[a:b])) for a, b in zip(edges, edges[1:])]
+    units = [Counter(_PARTICLE.sub("", w) if "가" <= w[-1] <= "힣" and len(w) > 2 else w for w in _WORD.findall(text[a:b].lower())) for a, b in zip(edges, edges[1:])]
     n = len(gaps)
     sims, left, right = [], Counter(), Counter()
     for u in units[1:1 + BLOCK_UNITS]:
