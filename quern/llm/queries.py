@@ -36,6 +36,12 @@ def p2_found(spark, sf_dir):
     return visual_form.look_alike_pairs(_p2_fields(spark, sf_dir))
 
 
+@query
+def p2_classes(spark, sf_dir):
+    """Every record with a look-alike: its class, its text and the number of its look-alikes."""
+    return visual_form.look_alike_classes(_p2_fields(spark, sf_dir))
+
+
 @query
 def p2_normalised(spark, sf_dir):
     fields = _p2_fields(spark, sf_dir)

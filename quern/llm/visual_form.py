@@ -59,6 +59,8 @@ def _table() -> dict[int, str]:
             kind = unicodedata.decomposition(ch).split(" ")[0]
             if kind in ("<wide>", "<narrow>", "<font>"):
                 t[cp] = unicodedata.normalize("NFKC", ch) if not 0xFFA1 <= cp <= 0xFFDC else chr(int(unicodedata.decomposition(ch).split(" ")[1], 16))
+    # Letters of mathematical alphabets, and ligatures drawn as their letters.
+    t |= {cp: unicodedata.normalize("NFKC", chr(cp)) for cp in (*range(0x1D400, 0x1D800), *range(0xFB00, 0xFB07)) if unicodedata.decomposition(chr(cp))}
     t |= {ord(c): " " for c in _BLANKS}
     t |= {ord(c): "" for c in _UNSEEN}
     t |= {ord(a): b for a, b in LOOKALIKES.items()}
@@ -92,9 +94,33 @@ def _irregular_class() -> str:
     return "[" + "".join(out) + "]"
 
 
-IRREGULAR_CLASS = _irregular_class()  # legal in Java as well
 #: A text without these characters is stored in its final form already.
-IRREGULAR = re.compile(IRREGULAR_CLASS)
+IRREGULAR = re.compile(_irregular_class()[:-1] + "\U0001d400-\U0001d7ff]")
+
+
+# Letters of each look-alike script by the Latin letter they look like (of several, the first in the table).
+_SCRIPTS = {script: {v: k for k, v in reversed(LOOKALIKES.items()) if unicodedata.name(k).split(" ")[0] == script} for script in ("GREEK", "CYRILLIC", "ARMENIAN")}
+_LETTERS = re.compile(r"(?:[^\W\d_]|[\u0300-\u036f])+")
+_FOREIGN = re.compile("[\u0370-\u058f\u1f00-\u1fff]")
+
+
+def own_script(s: str) -> str:
+    """Table form with every run of letters that must be of a foreign script wholly in that script.
+
+    A run with a letter no Latin letter looks like, and with none that is Latin alone, is a word of that script: the
+    table's Latin letters in it go back to the script's own.  It is decided by the table form, so strings that look
+    the same still come out equal, and by the run alone, so no word list is asked."""
+    return _LETTERS.sub(_restored, s) if _FOREIGN.search(s) else s
+
+
+def _restored(m: re.Match) -> str:
+    nfd = unicodedata.normalize("NFD", m.group())
+    letters = [c for c in nfd if not unicodedata.combining(c)]
+    scripts = {_script(c) for c in letters if not c.isascii()}
+    back = _SCRIPTS.get(scripts.pop()) if len(scripts) == 1 else None
+    if back is None or any(c.isascii() and c not in back for c in letters):
+        return m.group()
+    return unicodedata.normalize("NFC", "".join(back.get(c, c) for c in nfd))
 
 
 def visual_key(s: str | None) -> str | None:
@@ -122,8 +148,9 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from quern.llm.arrow import map_rows, map_task  # noqa: E402
 
-#: Canonical spellings kept in the trie. Spellings beyond it are normalised by table, which decides alike for all
-#: members of a class, so the bound changes the spelling chosen, never which strings come out equal.
+#: Canonical spellings kept in the trie. Spellings beyond it are normalised by table and ``own_script``, which decide
+#: alike for all members of a class, so the bound never changes which strings come out equal; a word of a foreign
+#: script comes out in that script with or without the list.
 VOCABULARY = 20_000
 _WORD = re.compile(r"[^\W\d_][^\s]*")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -242,7 +269,7 @@ def spelling_vocabulary(columns: list[DataFrame], size: int = VOCABULARY) -> dic
 
 
 class Normaliser:
-    """Text to its one form: words with irregular characters by trie, else by table."""
+    """Text to its one form: words with irregular characters by trie, else by table and script."""
 
     def __init__(self, words: dict[str, int], remembered: int = 100_000):
         self.trie, self.size, self.known = SpellingTrie(words), remembered, {}
@@ -252,7 +279,7 @@ class Normaliser:
         if out is None:
             if len(self.known) >= self.size:
                 self.known.clear()
-            out = self.known[token] = self.trie.walk(token) or _fold(token)
+            out = self.known[token] = self.trie.walk(token) or own_script(_fold(token))
         return out
 
     def __call__(self, text: str) -> str:
@@ -301,6 +328,14 @@ def look_alike_pairs(fields: list[tuple[str, DataFrame, str, str]], size: int =
     ``fields``: (field name, table, key column, text column).  Null texts look like nothing.  Classes of one and the
     same text give no pair and leave before the join; empty texts equal each other and only each other.
     """
+    few = _mixed_forms(fields, size)
+    a = few.select("field", "form_hash", F.col("id").alias("id_a"), F.col("text_hash").alias("ta"))
+    b = few.select("field", "form_hash", F.col("id").alias("id_b"), F.col("text_hash").alias("tb"))
+    return (a.join(b, ["field", "form_hash"]).where("id_a < id_b and ta != tb").select("field", "id_a", "id_b"))
+
+
+def _mixed_forms(fields, size: int) -> DataFrame:
+    """``field, id, text_hash, form_hash`` of the classes with more than one text."""
     words = spelling_vocabulary([df.select(text) for _, df, _, text in fields], size)
     forms = None
     for name, df, key, text in fields:
@@ -310,7 +345,17 @@ def look_alike_pairs(fields: list[tuple[str, DataFrame, str, str]], size: int =
     forms = written(forms, "forms")
     mixed = (forms.groupBy("field", "form_hash").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b"))
              .where("a != b").select("field", "form_hash"))
-    few = forms.join(mixed, ["field", "form_hash"], "left_semi")
-    a = few.select("field", "form_hash", F.col("id").alias("id_a"), F.col("text_hash").alias("ta"))
-    b = few.select("field", "form_hash", F.col("id").alias("id_b"), F.col("text_hash").alias("tb"))
-    return (a.join(b, ["field", "form_hash"]).where("id_a < id_b and ta != tb").select("field", "id_a", "id_b"))
+    return forms.join(mixed, ["field", "form_hash"], "left_semi")
+
+
+def look_alike_classes(fields: list[tuple[str, DataFrame, str, str]], size: int = VOCABULARY) -> DataFrame:
+    """The same as classes, without writing pairs out: ``field, id, class_id, text_id, n_links`` for every record with
+    a look-alike.  ``class_id`` is the least id of the class, ``text_id`` the least id with the very same text and
+    ``n_links`` the number of its look-alikes; records of one class with different ``text_id`` are the pairs.
+    Counts are summed per text before classes meet, so a hot class is no larger than its number of spellings."""
+    from quern.session import written
+    few = written(_mixed_forms(fields, size), "mixed")
+    texts = few.groupBy("field", "form_hash", "text_hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("text_id"))
+    classes = texts.groupBy("field", "form_hash").agg(F.sum("n").alias("n_class"), F.min("text_id").alias("class_id"))
+    return (few.join(texts, ["field", "form_hash", "text_hash"]).join(classes, ["field", "form_hash"])
+            .select("field", "id", "class_id", "text_id", (F.col("n_class") - F.col("n")).alias("n_links")))

@@ -27,6 +27,16 @@ def test_split_cuts_at_boundaries():
     assert sp.split_text("x" * 2000)[0] == (0, 0, 900)
 
 
+def test_words_are_compared_whole():
+    """Words that begin alike are not one word; a noun with and without its particle is."""
+    gaps = lambda t: sp._gaps(t)
+    same = "contract contest control. " * 3 + "continent contrast concert. " * 3
+    depth = sp.boundary_depths(same, gaps(same))
+    assert max(range(len(depth)), key=depth.__getitem__) == 2
+    noun = "도서관은 열람실을 엽니다. " * 3 + "도서관의 열람실에서 엽니다. " * 3
+    assert max(sp.boundary_depths(noun, gaps(noun))) < 0.01
+
+
 def test_split_operator(spark):
     df = spark.createDataFrame([(1, "가나다 " * 300, 0), (2, None, 0), (3, "", 0), (4, "x" * 900, 0), (5, "y" * 901, 0), (5, "y" * 901, 0)], "id long, t string, piece int")
     got = sp.split_oversized(df, "id", "t").collect()
