@@ -59,6 +59,16 @@ def test_residue(spark):
     assert rs.residue_records([("t", df.limit(0), "id", "t", None)]).count() == 0
 
 
+def test_long_messages_and_standard_ones(spark):
+    """Messages written as one long line, and pages that hold little or much beside them."""
+    bad = ["We're sorry but this app doesn't work properly without JavaScript enabled. Please enable it to continue.", "Just a moment... Checking your browser before accessing the site.", "Under construction",
+           "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua."]
+    good = ["The library moves to the new hall in spring, so the reading room is closed for two weeks and loans are extended. Ask the desk for help.",
+            "If the portal shows an error such as 404, reload the page and write to the office, which will look into it within two working days."]
+    df = spark.createDataFrame(list(enumerate(bad + good)), "id long, t string")
+    assert sorted(r.rec_id for r in rs.residue_records([("t", df, "id", "t", None)]).collect()) == list(range(len(bad)))
+
+
 def test_residue_of_a_page(spark):
     page = "본문으로 건너뛰기\n학교안내\n등록금 안내 (제2026-1호)\n스크립트를 지원하지 않는 환경입니다. 설정을 확인해 주세요.\nCopyright Nurisol University. All rights reserved."
     df = spark.createDataFrame([(1, page, "등록금 안내 (제2026-1호)"), (2, PAGE, "등록금 납부 안내 (제2026-1호)"), (3, None, None)], "id long, t string, title string")
@@ -74,6 +84,42 @@ def test_scan_shapes():
         assert not sc.is_page_number(x), x
 
 
+def test_page_numbers_need_a_digit_and_a_place():
+    for x in ("Soil", "loss", "oil", "solo", "OS", "Is", "- lS -"):
+        assert not sc.is_page_number(x), x
+    page = ["The year was", "2024", "and rooms", "350", "were free."]
+    assert sc.page_numbers(page) == set()
+    assert sc.page_numbers([*page, "12"]) == {5} and sc.page_numbers(["7", *page]) == {0} and sc.page_numbers(["text", "- 9 -", "text"]) == {1}
+    assert sc.page_numbers(["a b", "31", "c d", "32", "e f", "350", "g h"]) == {1, 3}  # in sequence
+    assert sc.page_numbers(["a b", "31", "\x0cc d", "350", "g h"]) == {1} and sc.page_numbers([]) == set()
+
+
+def test_headers_of_a_small_series_in_a_large_corpus(spark):
+    """A booklet's header is found whatever else there is; the first line of copies of one text is not one."""
+    import random
+    rnd = random.Random(2)
+    words = [f"word{i}" for i in range(400)]
+    text = lambda n: [" ".join(rnd.choice(words) for _ in range(7)) for _ in range(n)]
+    rows = [(i, "\n".join(text(12))) for i in range(300)] + [(1000 + i, "\n".join(["Handbook of the tiny series", *text(11)])) for i in range(6)]
+    copy = "\n".join(text(12))
+    rows += [(2000 + i, copy) for i in range(60)]
+    df = spark.createDataFrame(rows, "rec_id long, _text string").selectExpr("*", "true as _always")
+    assert {r.k for r in sc.header_lexicon(df).collect()} == {sc.header_key("Handbook of the tiny series")}
+
+
+def test_joined_headers_and_word_list_change_nothing(spark, monkeypatch):
+    clean = spark.createDataFrame([("장학금 신청서를 학생회관 사무실에 제출하면 됩니다. 2026년 3월 18일까지 접수합니다.",)] * 300, "t string")
+    rows = [(i, f"생활관 안내 책자\n{i}번 장학금 신청서를 힉생회괸 사무실에 제출하-\n면 됩니다. 2O26년 3월 l8일까지 접수합니다.\n- {i} -") for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "id long, s string")
+    run = lambda: sorted(tuple(r) for r in sc.scan_noise([("s", df, "id", "s", None, True)], [(clean, "t")]).collect())
+    want = run()
+    assert len(want) == 8 * 5
+    monkeypatch.setattr(sc, "SHARED_HEADERS", 0)
+    assert run() == want
+    monkeypatch.setattr(sc, "KNOWN_WORDS", 0)
+    assert run() == want
+
+
 def test_wrapped_or_not():
     import textwrap
     text = "Seats for the credit transfer are limited to forty, so graduate assistants are placed first. Bring the budget sheet to the desk. The office will contact you soon."
