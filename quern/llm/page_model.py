@@ -30,7 +30,7 @@ MODEL = Path(__file__).with_name("models") / "page_model.json"
 _EDGE = re.compile(r"^[\s\-·※■□▲▼▶>\[|*•›«»<]+|[\s\]|›]+$")
 _BLANK = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
-_POST = re.compile(r"\((?:제\d+-\d+호|no\. \d+-\d+)\)\W*$")
+_TAIL = re.compile(r"\([^()]*\d[^()]*\)(?=\W*$)")
 _SENTENCE = re.compile(r"[.?!]\s*$|(?:다|요|오|음|함)\.?\s*$")
 _NUMBERS = re.compile(r"^[\d\s/|«»<>쪽처음끝다next]+$")
 _RUNNING = re.compile(r"[.?!][\W_]*$")
@@ -41,14 +41,21 @@ _MASH = re.compile(r"[ㄱ-ㅎ]{3,}|asdf|qwer|zxcv|(.)\1{4,}|가나다라|(?:(\w+
 _LONG = 14  # words from which a line is running text; word pairs are then no features
 
 
-def features(line: str, is_title: bool, region: str) -> tuple[list[str], str]:
-    """Features of a line and its block kind."""
+def tail(low: str) -> str:
+    """Shape of a bracketed number at the end of a line in lower case, as titles of numbered posts have it."""
+    m = _TAIL.search(low)
+    return _DIGITS.sub("9", m.group()) if m else ""
+
+
+def features(line: str, is_title: bool, region: str, tails: frozenset[str] = frozenset()) -> tuple[list[str], str]:
+    """Features of a line and its block kind.  ``tails``: the endings of titles, learned from the labelled pages; a
+    line that ends like a title names a post."""
     raw = _BLANK.sub(" ", visual_key(line)).strip()
     low = raw.lower()
     n = _DIGITS.sub("9", _EDGE.sub("", low))
     words = n.split(" ")
     f = ["bias", "r:" + region, "n:" + str(min(len(words), _LONG)), "c:" + str(min(len(n) // 15, 6))]
-    post = bool(_POST.search(low))
+    post = bool(tails) and tail(low) in tails
     kind = "short"
     if _SLOT.search(low):
         f.append("slot")
@@ -88,7 +95,6 @@ def features(line: str, is_title: bool, region: str) -> tuple[list[str], str]:
         f += ["first:" + words[0], "last:" + words[-1]]
         if len(words) <= _LONG:
             f += ["p:" + a + " " + b for a, b in zip(words, words[1:])]
-            f.append("all:" + n)
     return f, kind
 
 
@@ -102,7 +108,7 @@ class PageModel:
 
     def __init__(self, model: dict | None = None, remembered: int = 100_000):
         m = model or load_model()
-        self.weights, self.size, self.known = m["weights"], remembered, {}
+        self.weights, self.tails, self.size, self.known = m["weights"], frozenset(m["tails"]), remembered, {}
         self.region = {k: (log(1 - p), log(p)) for k, p in m["region"].items()}
         self.block = {k: [(log(1 - p), log(p)) for p in v] for k, v in m["block"].items()}
         self.line = [(log(1 - p), log(p)) for p in m["line"]]
@@ -111,7 +117,7 @@ class PageModel:
         key = (line, is_title, region)
         got = self.known.get(key)
         if got is None:
-            f, kind = features(line, is_title, region)
+            f, kind = features(line, is_title, region, self.tails)
             w = self.weights
             got = (max(-30.0, min(30.0, sum(w.get(x, 0.0) for x in f))), kind)
             if len(line) <= 80:  # only short lines come again often

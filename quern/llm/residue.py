@@ -6,8 +6,13 @@ word - after digits, trace ids and slots are masked.  Lines of one leaf merge
 into a template; each template is classified once - by a log-linear model over
 its words and letter triples, one with a slot by whether it writes about slots
 - and the verdict goes back to all its lines.
-Running text is no message; in it only sentences with an unresolved slot are
-filed, so a slot left in an ordinary record is found by itself.
+Running text is filed sentence by sentence, so a message written as one long
+line is judged like a short one, and a slot left in an ordinary record is found
+by itself.
+
+Lines of a page that the page model is not sure to be surroundings come along
+as weak ones, which count only if they turn out to be residue: a page may hold
+nothing but its message.
 
 A record is named if an unresolved slot was left in it, or if at least half
 of its own letters belong to message or filler templates.  Null and empty texts are
@@ -46,26 +51,29 @@ _LETTER = re.compile(r"[^\W\d_]")
 #: English text has these in every sentence of some length; made-up filler has none.
 _FUNCTION_WORDS = frozenset("the a an of and or to in on at for from by with is are was were be been as it its that this these those not no you your we our will may can must should has have had if when than then there after before".split())
 _ASCII_WORD = re.compile(r"[A-Za-z]+")
-RUNNING_WORDS, WEAK, LITTLE = 14, 0.001, 200
+RUNNING_WORDS, WEAK = 14, 0.001
 _PLAIN_EDGE = re.compile(r"^[\s\-·※■□▲▼▶>|*•›«»]+|[\s|›]+$")
 
 
 def units(line: str) -> list[tuple[str, int, bool]]:
-    """Units of a line to be filed: masked text, letters it stands for, has a slot.  A line of running text gives
-    its sentences with slots or made-up words; the letters of the rest come back under an empty mask."""
+    """Units of a line to be filed: masked text, letters it stands for, has a slot.  A line of running text gives its
+    sentences; what holds no letter comes back under an empty mask."""
     s = _BLANK.sub(" ", _PLAIN_EDGE.sub("", visual_key(line)))
     if not s:
         return []
     if not _LETTER.search(s):
         return [("", len(s), False)] if not _KEYS.match(s) else [(mask(s), len(s), False)]
-    parts = [p for p in _SENTENCE.split(s) if p]
-    if len(parts) > 1 and len(set(parts)) == 1:
-        return [(mask(parts[0]) + " <again>", len(s), bool(SLOT.search(s)))]
     if s.count(" ") < RUNNING_WORDS:
+        parts = [p for p in _SENTENCE.split(s) if p]
+        if len(parts) > 1 and len(set(parts)) == 1:
+            return [(mask(parts[0]) + " <again>", len(s), bool(SLOT.search(s)))]
         return [(mask(s), len(s), bool(SLOT.search(s)))]
     out, rest = [], 0
+    parts = [p for p in _SENTENCE.split(s) if p]
+    if len(parts) > 1 and len(set(parts)) == 1:
+        return [(mask(parts[0]) + " <again>", len(s), bool(SLOT.search(s)))]
     for p in parts:
-        if SLOT.search(p) or made_up(p):
+        if _LETTER.search(p):
             out.append((mask(p), len(p), bool(SLOT.search(p))))
         else:
             rest += len(p)
@@ -74,7 +82,9 @@ def units(line: str) -> list[tuple[str, int, bool]]:
 
 def made_up(s: str) -> bool:
     """A sentence of at least six small Latin words without one function word."""
-    w = s.strip(" .!?").split(" ")
+    if not s[:1].isascii():
+        return False
+    w = [x.strip(",;:") for x in s.strip(" .!?").split(" ")]
     return (len(w) >= 6 and not any(x.lower() in _FUNCTION_WORDS for x in w) and all(x.isascii() and x.isalpha() for x in w)
             and sum(x.islower() for x in w) >= 0.7 * len(w))
 
@@ -99,22 +109,25 @@ def merge(a: list[str], b: list[str]) -> list[str]:
     return [x if x == y else "<slot>" if "<slot>" in x or "<slot>" in y else "<*>" for x, y in zip(a, b)]
 
 
-def template_features(template: str) -> set[str]:
+def word_features(word: str) -> list[str]:
+    """Features of one word; they do not depend on where it stands, so a word's share of a score is computed once."""
+    if word.startswith("<"):
+        return ["w:" + word]
+    x = "^" + word.strip(".,!?:;()") + "$"
+    f = ["w:" + word, *("t:" + x[i:i + 3] for i in range(len(x) - 2))]
+    return [*f, "keys"] if len(word) > 2 and _KEYS.match(word) else f
+
+
+def frame_features(template: str, words: list[str]) -> list[str]:
+    """Features of the whole: length, slots, ends and word pairs."""
+    f = ["bias", "n:" + str(min(len(words), RUNNING_WORDS + 1)), "slots:" + str(min(template.count("<slot>"), 3)), "first:" + words[0], "last:" + words[-1]]
+    f += ["p:" + a + " " + b for a, b in zip(words, words[1:])]
+    return [*f, "stop"] if template.endswith(".") else f
+
+
+def template_features(template: str) -> list[str]:
     words = template.split(" ")
-    f = {"bias", "n:" + str(min(len(words), RUNNING_WORDS + 1)), "slots:" + str(min(template.count("<slot>"), 3))}
-    f |= {"w:" + w for w in words}
-    f |= {"p:" + a + " " + b for a, b in zip(words, words[1:])}
-    for w in words:
-        if w.startswith("<"):
-            continue
-        x = "^" + w.strip(".,!?:;()") + "$"
-        f |= {"t:" + x[i:i + 3] for i in range(len(x) - 2)}
-        if len(w) > 2 and _KEYS.match(w):
-            f.add("keys")
-    f |= {"first:" + words[0], "last:" + words[-1], "all:" + template}
-    if template.endswith("."):
-        f.add("stop")
-    return f
+    return frame_features(template, words) + [x for w in dict.fromkeys(words) for x in word_features(w)]
 
 
 @cache
@@ -122,26 +135,40 @@ def load_model() -> dict[str, float]:
     return json.loads(MODEL.read_text(encoding="utf-8"))
 
 
+class Scorer:
+    """Probability that a template is a message or filler; a slot counts by whether its sentence writes about slots."""
+
+    def __init__(self, weights: dict[str, float] | None = None, remembered: int = 200_000):
+        self.weights, self.size, self.known = load_model() if weights is None else weights, remembered, {}
+
+    def __call__(self, template: str) -> float:
+        if "<slot>" in template:
+            return 0.0 if MENTION.search(template) else 1.0
+        w, known, words = self.weights, self.known, template.split(" ")
+        z = sum(w.get(x, 0.0) for x in frame_features(template, words))
+        for word in dict.fromkeys(words):
+            share = known.get(word)
+            if share is None:
+                if len(known) >= self.size:
+                    known.clear()
+                share = known[word] = sum(w.get(x, 0.0) for x in word_features(word))
+            z += share
+        return 1 / (1 + exp(-max(-30.0, min(30.0, z))))
+
+
 def score(template: str, weights: dict[str, float] | None = None) -> float:
-    if "<slot>" in template:
-        return 0.0 if MENTION.search(template) else 1.0
-    w = load_model() if weights is None else weights
-    z = sum(w.get(x, 0.0) for x in template_features(template))
-    return 1 / (1 + exp(-max(-30.0, min(30.0, z))))
+    return Scorer(weights)(template)
 
 
 def _page_lines(model: PageModel, text: str, title: str | None) -> list[tuple[str, bool]]:
-    """Own lines of a page; of a page with little own text, lines the page model is not quite sure to be surroundings
-    come along as weak ones, which count only if they turn out to be residue."""
+    """Own lines of a page; lines the page model is not quite sure to be surroundings come along as weak ones, which
+    count only if they turn out to be residue."""
     lines, titles, _ = model.layout(text, title)
-    p = model.marginals(text, title)
-    own = sum(len(x) for x, t, q in zip(lines, titles, p) if not t and q >= 0.5)
-    least = WEAK if own < LITTLE else 0.5
-    return [(x, q < 0.5) for x, t, q in zip(lines, titles, p) if not t and q >= least and x.strip()]
+    return [(x, q < 0.5) for x, t, q in zip(lines, titles, model.marginals(text, title)) if not t and q >= WEAK and x.strip()]
 
 
 def filed_units(df: DataFrame, key: str, text: str, title: str | None) -> DataFrame:
-    """Units of every record: ``rec_id, leaf, template, letters, slot``; running text is summed under a null leaf.
+    """Units of every record: ``rec_id, leaf, template, letters, slot``; what holds no letter is summed under a null leaf.
     With ``title`` the text is a collected page and only its main body is read."""
     kind = df.schema[key].dataType.simpleString()
 
@@ -185,6 +212,8 @@ def judged_templates(filed: DataFrame) -> DataFrame:
         yield from ((lf, " ".join(t), n, x) for lf, (t, n, x) in tree.items())
 
     def judge():
+        score = Scorer()
+
         def f(b):
             for lf, templates, n, example in zip(b["leaf"], b["templates"], b["n"], b["example"]):
                 t = templates[0].split(" ")
@@ -208,10 +237,12 @@ def residue_records(fields: list[tuple[str, DataFrame, str, str, str | None]], s
         filed = one if filed is None else filed.unionByName(one)
     filed = written(filed, "filed")
     verdicts = judged_templates(filed).select("leaf", (F.col("residue") >= 0.5).alias("bad")).where("bad")
-    judged = filed.select("field", "rec_id", "leaf", "letters", "slot", "weak").join(verdicts, "leaf", "left")
-    bad = F.coalesce("bad", F.lit(False))
+    columns = ["field", "rec_id", "letters", "slot", "weak"]
+    # Units without a leaf pass by the join: they would all meet in one task.
+    judged = (filed.where("leaf is not null").select("leaf", *columns).join(verdicts, "leaf", "left").select(*columns, F.coalesce("bad", F.lit(False)).alias("bad"))
+              .unionByName(filed.where("leaf is null").select(*columns, F.lit(False).alias("bad"))))
     return (judged.groupBy("field", "rec_id")
-            .agg(F.sum(F.when(bad, F.col("letters")).otherwise(0)).alias("b"), F.sum(F.when(bad | ~F.col("weak"), F.col("letters")).otherwise(0)).alias("n"),
-                 F.max(bad & F.col("slot")).alias("slot"))
+            .agg(F.sum(F.when(F.col("bad"), F.col("letters")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad") | ~F.col("weak"), F.col("letters")).otherwise(0)).alias("n"),
+                 F.max(F.col("bad") & F.col("slot")).alias("slot"))
             .where(F.col("slot") | ((F.col("b") > 0) & (F.col("b") >= F.lit(share) * F.col("n"))))
             .select("field", "rec_id"))
