@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import cache
+from functools import cache, lru_cache
 from math import exp, log
 from pathlib import Path
 
@@ -103,6 +103,11 @@ def load_model() -> dict:
     return json.loads(MODEL.read_text(encoding="utf-8"))
 
 
+@lru_cache(100_000)
+def _reduced(line: str) -> str:
+    return letters_and_digits(line)
+
+
 class PageModel:
     """Marginals of a page's lines."""
 
@@ -131,7 +136,7 @@ class PageModel:
         key = letters_and_digits(title) if title else ""
         size = len(title) + 40 if title else 0
         # The page's own title stands once; where a list repeats it the last place counts.
-        at = max((i for i, x in enumerate(lines) if key and len(x) <= size + len(x) // 2 and letters_and_digits(x) == key), default=None)
+        at = max((i for i, x in enumerate(lines) if key and len(x) <= size + len(x) // 2 and _reduced(x) == key), default=None)
         titles = [i == at for i in range(len(lines))]
         regions = ["whole"] * len(lines) if at is None else ["head" if i < at else "tail" for i in range(len(lines))]
         # A region without running text is one of its own: there a short line may be all the page has to say.

@@ -40,6 +40,8 @@ MODEL = Path(__file__).with_name("models") / "residue_model.json"
 #: Slots of the usual template languages and of hand-made forms.
 SLOT = re.compile(r"\{\{[^{}\n]{1,60}\}\}|[$#]\{[^{}\n]{1,60}\}|<%[^%\n]{1,60}%>|@@\w[\w.]*@@|%[A-Za-z_][\w.]*%|__[A-Za-z][A-Za-z_.]*?__|\[\[[^\[\]\n]{1,60}\]\]"
                   r"|\{[A-Za-z_][\w.]*\}|〈[^〉\n]{1,40}(?:입력|기재|선택)〉|\[[^\[\]\n]{1,40}여기에[^\[\]\n]{1,20}\]|<[A-Za-z_]+ here>|\[(?:insert|your|enter) [^\[\]\n]{1,40}\]|\bO{3,}\b|○{2,}|\bX{3,}\b")
+#: Every slot has one of these signs.
+_SLOT_SIGN = re.compile(r"[{<$#%@_\[〈○]|OOO|XXX")
 _TRACE = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{8,}\b")
 _DIGITS = re.compile(r"\d+")
 _BLANK = re.compile(r"\s+")
@@ -67,14 +69,16 @@ def units(line: str) -> list[tuple[str, int, bool]]:
         parts = [p for p in _SENTENCE.split(s) if p]
         if len(parts) > 1 and len(set(parts)) == 1:
             return [(mask(parts[0]) + " <again>", len(s), bool(SLOT.search(s)))]
-        return [(mask(s), len(s), bool(SLOT.search(s)))]
+        masked, slot = _masked(s)
+        return [(masked, len(s), slot)]
     out, rest = [], 0
     parts = [p for p in _SENTENCE.split(s) if p]
     if len(parts) > 1 and len(set(parts)) == 1:
         return [(mask(parts[0]) + " <again>", len(s), bool(SLOT.search(s)))]
     for p in parts:
         if _LETTER.search(p):
-            out.append((mask(p), len(p), bool(SLOT.search(p))))
+            masked, slot = _masked(p)
+            out.append((masked, len(p), slot))
         else:
             rest += len(p)
     return [*out, ("", rest, False)] if rest else out
@@ -90,9 +94,19 @@ def made_up(s: str) -> bool:
 
 
 def mask(s: str) -> str:
+    return _masked(s)[0]
+
+
+def _masked(s: str) -> tuple[str, bool]:
+    """Masked text, and whether it has a slot."""
     if made_up(s):
-        return "<made-up> words"
-    return _DIGITS.sub("9", _TRACE.sub("<id>", SLOT.sub("<slot>", s))).lower()
+        return "<made-up> words", False
+    slots = 0
+    if _SLOT_SIGN.search(s):
+        s, slots = SLOT.subn("<slot>", s)
+    if _DIGITS.search(s):
+        s = _DIGITS.sub("9", _TRACE.sub("<id>", s))
+    return s.lower(), bool(slots)
 
 
 def leaf(masked: str) -> bytes:
