@@ -158,6 +158,28 @@ def sentences(c: Column, cut: int = 240, least: int = 20) -> Column:
     return F.filter(F.transform(parts, lambda s: F.substring(strip(s), 1, cut)), lambda s: F.length(s) >= least)
 
 
+# A line that begins so labels a context and says nothing.
+LABELS = ["[문서", "[TITLE]", "[BODY]", "[ATTACHMENT]", "제목:", "출처:", "게시일:", "내용:"]
+
+
+def content_lines(c: Column) -> Column:
+    """Lines of a context that say something: not empty, no label, not the word ``body`` alone."""
+    def label(x):
+        out = (x == "") | (x == "body")
+        for p in LABELS:
+            out = out | F.startswith(x, F.lit(p))
+        return out
+
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n", -1), strip), lambda x: ~label(x))
+
+
+def context_sentences(c: Column, cut: int = 240, least: int = 20) -> Column:
+    """Sentences of a context's content lines, which run on over line ends; shorter ones than ``least`` leave, dashes
+    and blanks come off the ends, each is cut at ``cut`` signs."""
+    parts = F.split(one_line(F.array_join(content_lines(c), " ")), "(?<=[.!?。])\\s+|(?<=다)\\s+", -1)
+    return F.transform(F.filter(parts, lambda s: F.length(strip(s)) >= least), lambda s: F.substring(F.btrim(s, F.lit(" -")), 1, cut))
+
+
 def section(c: Column, name: str) -> Column:
     """Text between a bracketed header and the next one."""
     return strip(F.regexp_extract(c, rf"(?s)\[{name}\]\s*(.*?)(?=\n\[[^\]\n]+\]|$)", 1))

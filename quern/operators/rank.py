@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import recency
-from quern.functions.text import distinct_tokens, sentences, strip
+from quern.functions.text import context_sentences, distinct_tokens, strip
 
 
 def coverage(expected: Column, actual: Column) -> Column:
@@ -55,9 +55,9 @@ def context(selected: DataFrame, title: str, source: str, date: str, content: st
 
 
 def extractive_answer(rows: DataFrame, key: str, query: str, text: str, n: int = 4) -> DataFrame:
-    """``key, position, sentence, overlap``: the ``n`` sentences that share most query terms, longer ones first."""
+    """``key, position, sentence, overlap``: the ``n`` sentences of the content lines that share most query terms, longer ones first."""
     ask = distinct_tokens(F.col(query))
-    each = rows.select(F.col(key), ask.alias("_q"), F.posexplode(sentences(F.col(text))).alias("pos", "sentence"))
+    each = rows.select(F.col(key), ask.alias("_q"), F.posexplode(context_sentences(F.col(text))).alias("pos", "sentence"))
     each = each.withColumn("overlap", F.size(F.array_intersect("_q", distinct_tokens(F.col("sentence"))))).where("overlap > 0")
     w = Window.partitionBy(key).orderBy(F.desc("overlap"), F.desc(F.length("sentence")), "pos")
     return each.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n).select(key, "position", strip(F.col("sentence")).alias("sentence"), "overlap")

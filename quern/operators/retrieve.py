@@ -24,13 +24,16 @@ class Index:
     The texts move once, by document, into the buckets the postings are kept in; counting a document's tokens and
     summing its score over a query's tokens then need no further exchange, and only the best rows of a task leave it.
     With ``version`` (as of ``session.table_version``) the index is stored once in the shared folder and found again by
-    later queries and sessions; another version is another index.  Null and empty texts are no documents."""
+    later queries and sessions; another version is another index.  Null and empty texts are no documents.
+    ``analyse`` (text to list of words, with a name in ``analyser``) adds the words of a morphological analyser to the
+    tokens; each token then counts once a document, in the index and in its length."""
 
-    def __init__(self, docs: DataFrame, key: str, text: Column, version: str | None = None, buckets: int | None = None):
+    def __init__(self, docs: DataFrame, key: str, text: Column, version: str | None = None, buckets: int | None = None, analyse=None, analyser: str = ""):
+        self.analyse = analyse
         self.spark = docs.sparkSession
         self.buckets = buckets or max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         self.kind = docs.schema[key].dataType.simpleString()
-        name = hashlib.sha1(repr((version or uuid.uuid4().hex, key, str(text), self.kind, self.buckets)).encode()).hexdigest()
+        name = hashlib.sha1(repr((version or uuid.uuid4().hex, key, str(text), self.kind, self.buckets, analyser)).encode()).hexdigest()
         self.folder = f"{shared_folder(self.spark)}/index-{name}"
         if not (version and exists(self.spark, f"{self.folder}/done/_SUCCESS")):
             self._build(docs.select(F.col(key).alias("id"), text.alias("t")))
@@ -47,7 +50,7 @@ class Index:
 
     def _build(self, texts: DataFrame) -> None:
         build = uuid.uuid4().hex  # two builds at a time do not meet; the last one to end is the one that is read
-        postings = texts.where("t is not null").repartition(self.buckets, "id").mapInArrow(_postings, f"id {self.kind}, length int, token string, tf long")
+        postings = texts.where("t is not null").repartition(self.buckets, "id").mapInArrow(lambda b, a=self.analyse: _postings(b, a), f"id {self.kind}, length int, token string, tf long")
         self._register(build)
         postings.write.insertInto(f"postings_{build}")
         postings = self.spark.table(f"postings_{build}")
@@ -56,7 +59,7 @@ class Index:
         lengths.agg(F.lit(build).alias("build"), F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_length")).write.mode("overwrite").parquet(f"{self.folder}/done")
 
 
-def _postings(batches):
+def _postings(batches, analyse=None):
     """Tokens of each document counted where the document is."""
     import pyarrow as pa
 
@@ -67,6 +70,8 @@ def _postings(batches):
             take, lengths, words, counts = [], [], [], []
             for i, t in enumerate(part.column(1).to_pylist()):
                 found = tokens(t)
+                if analyse:
+                    found = list(dict.fromkeys([*found, *(w for w in analyse(t.lower()) if len(w) > 1)]))
                 each = Counter(found)
                 take += [i] * len(each)
                 lengths += [len(found)] * len(each)

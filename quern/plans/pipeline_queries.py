@@ -55,7 +55,11 @@ def question_log(spark, sf_dir):
     return pipeline.log_rows(req, answers, sel)
 
 
-@query()
+_FULL = "list_filter(list_transform(string_split(coalesce(raw_text, ''), chr(10)), lambda x: regexp_replace(x, '^[\\s\\x{00A0}\\x{3000}]+|[\\s\\x{00A0}\\x{3000}]+$', '', 'g')), lambda x: x <> '')"
+
+
+@query(f"""WITH l AS (SELECT doc_id, {_FULL} AS ls FROM documents), n AS (SELECT doc_id, ls[list_position(list_transform(ls, lambda x: x IN ('붙임', '문의', 'Notes')), true) + 1] AS v, list_position(list_transform(ls, lambda x: x IN ('붙임', '문의', 'Notes')), true) AS place FROM l)
+SELECT doc_id, CASE WHEN place > 0 AND v NOT IN ('끝.', 'End.', '붙임', '문의', 'Notes') THEN v END AS value FROM n""")
 def label_values(spark, sf_dir):
     v = pipeline.value_after_label(F.split(F.coalesce("raw_text", F.lit("")), "\n"), ["붙임", "문의", "Notes"], ["끝.", "End."])
     return table(spark, sf_dir, "documents").select("doc_id", v.alias("value"))

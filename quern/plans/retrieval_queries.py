@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import first_filled
-from quern.functions.text import PARTICLES, distinct_tokens
+from quern.functions.text import LABELS, PARTICLES, distinct_tokens
 from quern.operators import rank, retrieve
 from quern.operators.retrieve import Index, best, bm25, full_text, query_terms, top_k
 from quern.plans.tables import table
@@ -180,7 +180,19 @@ def build_context(spark, sf_dir):
     return rank.context(_selected(spark, sf_dir), "title", "source", "published_on", "content")
 
 
-@query()
+_ST = r"regexp_replace({0}, '^[\s\x{{00A0}}\x{{3000}}]+|[\s\x{{00A0}}\x{{3000}}]+$', '', 'g')"
+_LABEL = " OR ".join(f"starts_with(x, '{p}')" for p in LABELS)
+_ANSWER = f"""{_SELECT},
+tx AS (SELECT query_id, any_value(q) AS q, string_agg(coalesce(content, ''), chr(10) ORDER BY position) AS t FROM sel WHERE position <= 3 GROUP BY query_id),
+ln AS (SELECT query_id, q, {_ST.format(r"regexp_replace(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: " + _ST.format("x") + "), lambda x: NOT (x = '' OR x = 'body' OR " + _LABEL + r")), ' '), '[\s\x{{00A0}}\x{{3000}}]+', ' ', 'g')".replace('{{', '{').replace('}}', '}'))} AS t FROM tx),
+pt AS (SELECT query_id, q, string_split(regexp_replace(regexp_replace(t, '([.!?。])\\s+', '\\1' || chr(1), 'g'), '다\\s+', '다' || chr(1), 'g'), chr(1)) AS ps FROM ln),
+sn AS (SELECT query_id, q, generate_subscripts(ps, 1) AS pos, unnest(ps) AS p FROM pt),
+ov AS (SELECT query_id, pos, substring(trim(p, ' -'), 1, 240) AS sentence, len(list_intersect(list_distinct(regexp_extract_all(lower(q), '[가-힣A-Za-z0-9]+')), list_distinct(regexp_extract_all(lower(substring(trim(p, ' -'), 1, 240)), '[가-힣A-Za-z0-9]+')))) AS overlap
+  FROM sn WHERE length({_ST.format('p')}) >= 20)"""
+
+
+@query(f"""WITH {_ANSWER} SELECT query_id, position::INTEGER AS position, {_ST.format('sentence')} AS sentence, overlap::INTEGER AS overlap FROM
+ (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, length(sentence) DESC, pos) AS position FROM ov WHERE overlap > 0) WHERE position <= 4""")
 def answer_batch(spark, sf_dir):
     """Questions in, extractive answers out, in one plan."""
     rows = _selected(spark, sf_dir).groupBy("query_id", "query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", F.coalesce("content", F.lit("")).alias("c")))), lambda x: x["c"]), "\n").alias("text"))

@@ -165,7 +165,8 @@ def asset_counters(spark, sf_dir):
         F.count(F.lit(1)).alias("files"), F.count_if(F.col("extracted_text") != "").alias("with_text"), F.count_if(F.lower("file_ext") == ".pdf").alias("pdf"), F.round(F.avg("page_count"), 6).alias("mean_pages"))
 
 
-@query()
+@query("""SELECT doc_id, '["' || source || '","' || source_type || '"]' AS origin, CASE WHEN length(text) > 120 THEN substring(text, 1, 120) || '...' ELSE text END AS answer,
+ '{"version":' || version || CASE WHEN lang IS NULL THEN '' ELSE ',"lang":"' || lang || '"' END || '}' AS facts FROM documents""")
 def csv_report(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.array("source", "source_type").alias("origin"), F.col("text").alias("answer"), F.struct("version", "lang").alias("facts"))
     return sinks.report(d)

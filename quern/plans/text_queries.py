@@ -102,7 +102,9 @@ def attachment_sections(spark, sf_dir):
     return _docs(spark, sf_dir).where("attachment_text != ''").select("doc_id", F.posexplode(s).alias("section_no", "s")).select("doc_id", "section_no", "s.title", "s.text")
 
 
-@query()
+@query(f"""WITH p AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?。])\\s+', '\\1' || chr(1), 'g'), '다\\s+', '다' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)) AS ps FROM documents),
+k AS (SELECT doc_id, list_filter(list_transform(ps, lambda x: substring({_strip('x')}, 1, 240)), lambda x: length(x) >= 20) AS ps FROM p)
+SELECT doc_id, (generate_subscripts(ps, 1) - 1)::INTEGER AS sentence_no, unnest(ps) AS sentence FROM k""")
 def sentence_split(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("sentence_no", "sentence"))
 

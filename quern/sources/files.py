@@ -31,9 +31,14 @@ def first_of_file(records: DataFrame) -> DataFrame:
     return records.groupBy("file_path").agg(F.min_by(F.struct("source_type", "doc_id"), "pos").alias("k"), F.count(F.lit(1)).alias("n_chunks")).select("file_path", "k.*", "n_chunks")
 
 
-def attachment_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``source_type, doc_id, file_name, path, length, content`` of ``<kind>/<doc>/<file>`` below a folder."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+#: Largest attachment that is read (fixed value: 100 MiB).
+MAX_ATTACHMENT = 100 << 20
+
+
+def attachment_files(spark: SparkSession, folder: str, most: int = MAX_ATTACHMENT) -> DataFrame:
+    """``source_type, doc_id, file_name, path, length, content`` of ``<kind>/<doc>/<file>`` below a folder; files larger
+    than ``most`` bytes are never opened."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("length") <= most)
     part = lambda i: F.regexp_extract("path", "([^/]+)/([^/]+)/([^/]+)$", i)
     return df.select(part(1).alias("source_type"), part(2).alias("doc_id"), part(3).alias("file_name"), "path", "length", "content")
 
@@ -78,3 +83,48 @@ def fetch(requests: DataFrame, url: str, get=None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bodies, pa.string()), pa.array(errors, pa.string())], names=[*b.schema.names, "body", "error"])
 
     return requests.mapInArrow(run, schema)
+
+
+def fetch_binary(requests: DataFrame, url: str, open_url=None, most: int = MAX_ATTACHMENT, block: int = 1 << 20) -> DataFrame:
+    """``*, content, content_type, error``: files fetched in the tasks in blocks.  A file larger than ``most`` bytes, by
+    its header or while it is read, is given up and leaves an error and nothing else.  ``open_url(url)`` gives an object
+    with ``headers`` and ``read(n)`` (tests, offline stores); the default is a plain HTTP GET."""
+    from pyspark.sql.types import BinaryType, StringType, StructField
+
+    schema = StructType([*requests.schema.fields, StructField("content", BinaryType()), StructField("content_type", StringType()), StructField("error", StringType())])
+    at = requests.columns.index(url)
+
+    def default(u: str):
+        from urllib.request import Request, urlopen
+        return urlopen(Request(u, headers={"User-Agent": "Mozilla/5.0"}), timeout=30)
+
+    def load(u: str) -> tuple[bytes, str | None]:
+        r = (open_url or default)(u)
+        try:
+            if int(r.headers.get("Content-Length") or 0) > most:
+                raise ValueError(f"larger than {most} bytes")
+            parts, size = [], 0
+            while part := r.read(block):
+                size += len(part)
+                if size > most:
+                    raise ValueError(f"larger than {most} bytes")
+                parts.append(part)
+            return b"".join(parts), r.headers.get("Content-Type")
+        finally:
+            close = getattr(r, "close", None)
+            if close:
+                close()
+
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            for i in range(b.num_rows):  # one file at a time leaves the task
+                row = b.slice(i, 1)
+                try:
+                    content, kind = load(row.column(at)[0].as_py())
+                    error = None
+                except Exception as x:  # any failure is the row's own
+                    content, kind, error = None, None, f"{type(x).__name__}: {x}"[:300]
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary()), pa.array([kind], pa.string()), pa.array([error], pa.string())], names=[*row.schema.names, "content", "content_type", "error"])
+
+    return requests.mapInArrow(run, schema)
