@@ -5,8 +5,9 @@ by best-fit decreasing and certifies the count of its containers with the
 largest of a family of dual-feasible-function bounds.  A partition that meets
 its bound is settled (no packing of its items is better), and so is every full
 container.  The rest - the items of partitions with a gap - exchange places
-under another hash and are packed again, for a bounded number of rounds; the
-last round's packing stands.
+under another hash and are packed again, for a bounded number of rounds.  After
+each round the containers used if it were the last are counted; the best round's
+packing stands.  A bound over the sizes of all items certifies the whole.
 
 A text longer than the capacity is cut into full containers and a remainder,
 which is packed like any item; no other text is cut.  Null and empty texts
@@ -21,7 +22,7 @@ from math import ceil
 from pathlib import Path
 
 import numpy as np
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +42,18 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 def _encoding(path: str):
     import tiktoken
 
+    if not Path(path).exists():  # on a machine without it, the copy that came with the job
+        path = SparkFiles.get(Path(path).name)
     with Path(path).open("rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding(Path(path).stem, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_sizes(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``rec_id, n_tokens`` of every text with at least one token (marks of special tokens are ordinary text)."""
+    """``rec_id, n_tokens`` of every text with at least one token (marks of special tokens are ordinary text).  The
+    vocabulary file at ``tokenizer`` goes with the job to machines that lack it."""
+    if Path(tokenizer).exists():
+        df.sparkSession.sparkContext.addFile(tokenizer)
     kind = df.schema[key].dataType.simpleString()
 
     def work():
@@ -89,9 +95,14 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
 
 def lower_bound(sizes: list[int], capacity: int) -> int:
     """Containers that any packing needs: the largest bound of two families of dual feasible functions."""
-    if not sizes:
+    return bound_of_counts(np.bincount(np.asarray(sizes, dtype=np.int64), minlength=capacity + 1), capacity) if sizes else 0
+
+
+def bound_of_counts(h: np.ndarray, capacity: int) -> int:
+    """``lower_bound`` of so many items of each size."""
+    h = h.astype(np.int64)
+    if not h.any():
         return 0
-    h = np.bincount(np.asarray(sizes, dtype=np.int64), minlength=capacity + 1).astype(np.int64)
     x = np.arange(capacity + 1, dtype=np.int64)
     count, weight = np.concatenate([[0], np.cumsum(h)]), np.concatenate([[0], np.cumsum(h * x)])
     # Items above capacity - k count as full, items below k as nothing, the others as they are.
@@ -109,7 +120,7 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
     return best
 
 
-def _round(items: DataFrame, number: int, parts: int, capacity: int, last: bool) -> DataFrame:
+def _round(items: DataFrame, number: int, parts: int, capacity: int) -> DataFrame:
     kind = items.schema["rec_id"].dataType.simpleString()
 
     def work(batches):
@@ -122,14 +133,14 @@ def _round(items: DataFrame, number: int, parts: int, capacity: int, last: bool)
         sizes = [r[0] for r in rows]
         place, room = best_fit(sizes, capacity)
         bound = lower_bound(sizes, capacity)
-        settled = last or len(room) == bound
-        part = TaskContext.get().partitionId()
+        settled = len(room) == bound
+        part, opened = TaskContext.get().partitionId(), set()
         for (n, rec, piece), c in zip(rows, place):
-            done = settled or room[c] == 0
-            yield rec, piece, n, f"{number}-{part}-{c}" if done else None, part, len(room), bound
+            yield rec, piece, n, f"{number}-{part}-{c}", settled or room[c] == 0, c not in opened
+            opened.add(c)
 
     spread = items.repartition(parts, F.xxhash64("rec_id", "piece_no", F.lit(number)))
-    return map_task(spread, f"rec_id {kind}, piece_no int, n int, container string, part int, bins int, bound int", work)
+    return map_task(spread, f"rec_id {kind}, piece_no int, n int, container string, settled boolean, opens boolean", work)
 
 
 def packed(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, tokenizer: str = TOKENIZER,
@@ -147,21 +158,32 @@ def _packed(sizes: DataFrame, capacity: int, partition_items: int = PARTITION_IT
     items = sizes.select("rec_id", F.expr(f"cast(n_tokens div {capacity} as int)").alias("piece_no"),
                          F.expr(f"cast(n_tokens % {capacity} as int)").alias("n")).where("n > 0")
     count = items.count()
+    rounds_done, totals, before = [], [], 0
     for number in range(rounds):
         parts = max(1, ceil(count / partition_items))
-        # One partition alone has nobody to exchange with.
-        last = number == rounds - 1 or parts == 1
-        done = written(_round(items, number, parts, capacity, last), "packed")
-        out = out.unionByName(done.where("container is not null").select("container", "rec_id", "piece_no", "n"))
-        items = done.where("container is null").select("rec_id", "piece_no", "n")
-        count = items.count()
-        if not count:
+        done = written(_round(items, number, parts, capacity), "packed")
+        now = done.agg(F.count_if(F.col("opens") & F.col("settled")).alias("settled"), F.count_if(F.col("opens") & ~F.col("settled")).alias("open"), F.count_if(~F.col("settled")).alias("left")).first()
+        rounds_done.append(done)
+        totals.append(before + now["settled"] + now["open"])
+        before, count = before + now["settled"], now["left"]
+        if not count or parts == 1:  # one partition alone has nobody to exchange with
             break
+        items = done.where(~F.col("settled")).select("rec_id", "piece_no", "n")
+    stands = totals.index(min(totals))
+    for number, done in enumerate(rounds_done[:stands + 1]):
+        out = out.unionByName((done if number == stands else done.where("settled")).select("container", "rec_id", "piece_no", "n"))
     return out.select("container", "rec_id", "piece_no", (F.col("piece_no").cast("long") * capacity).alias("first_token"), F.col("n").alias("n_tokens"))
 
 
 def report(containers: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Containers, tokens and the share of room used."""
+    """One row: containers, the number any packing of these items needs at least (``bound``), their difference
+    (``gap``), tokens and the share of room used.  The sizes reach the driver as counts, one a size."""
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for r in containers.groupBy("n_tokens").count().collect():
+        counts[r["n_tokens"]] += r["count"]
+    full = int(counts[capacity])
+    counts[capacity] = 0
+    bound = F.lit(full + bound_of_counts(counts, capacity))
     per = containers.groupBy("container").agg(F.sum("n_tokens").alias("t"))
-    return per.agg(F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"),
+    return per.agg(F.count(F.lit(1)).alias("containers"), bound.alias("bound"), (F.count(F.lit(1)) - bound).alias("gap"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"),
                    F.round(F.sum("t") / (F.count(F.lit(1)) * capacity), 6).alias("fill"))
