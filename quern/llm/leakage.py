@@ -14,8 +14,10 @@ match nothing; passages shorter than ``run`` cannot be given away.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +25,25 @@ from quern.llm.arrow import map_rows
 from quern.llm.visual_form import letters_and_digits
 
 RUN, Q = 60, 12
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 8_000_000
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
+
+
+def gram_hashes(s: str, q: int) -> np.ndarray:
+    """64-bit hash of every q-gram, by position."""
+    codes = np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    n = len(codes) - q + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    h = np.zeros(n, dtype=np.uint64)
+    for j in range(q):
+        h = h * _BASE + codes[j:j + n]
+    return (h ^ (h >> np.uint64(31))) * _MIX
 
 
 class PassageIndex:
-    """q-gram index of reduced passages."""
+    """q-gram index of reduced passages: sorted hashes with item and position, 16 bytes a character, behind a bitmap.
+    A hash that meets by chance adds to a count and is refused by the alignment."""
 
     def __init__(self, items: list[tuple[int, str]], run: int = RUN, q: int = Q, edits: int = 0):
         self.run, self.q, self.edits = run, q, edits
@@ -35,36 +51,46 @@ class PassageIndex:
         if self.bound < 1:
             raise ValueError("the edit budget leaves no q-gram in common: take a smaller q or fewer edits")
         self.items = [(i, s) for i, p in items if len(s := letters_and_digits(p)) >= run]
-        self.grams: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for no, (_, s) in enumerate(self.items):
-            for p in range(len(s) - q + 1):
-                self.grams[s[p:p + q]].append((no, p))
-        self.grams = dict(self.grams)
+        each = [gram_hashes(s, q) for _, s in self.items]
+        hashes = np.concatenate(each) if each else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.item = np.repeat(np.arange(len(each), dtype=np.int32), [len(h) for h in each])[order] if each else np.zeros(0, dtype=np.int32)
+        self.place = (np.concatenate([np.arange(len(h), dtype=np.int32) for h in each]) if each else np.zeros(0, dtype=np.int32))[order]
+        bits = max(10, int(len(hashes)).bit_length() + 3)
+        self.shift = np.uint64(64 - bits)
+        self.bitmap = np.zeros(1 << bits, dtype=bool)
+        self.bitmap[(self.hashes >> self.shift).astype(np.int64)] = True
 
     def found(self, text: str) -> list[int]:
         """Item ids whose passage has a run inside ``text`` (in order of id)."""
         t = letters_and_digits(text)
-        q, grams = self.q, self.grams
-        if len(t) < self.run - self.edits:
+        if len(t) < self.run - self.edits or not len(self.hashes):
+            return []
+        h = gram_hashes(t, self.q)
+        at = np.nonzero(self.bitmap[(h >> self.shift).astype(np.int64)])[0]
+        if not len(at):
+            return []
+        low, high = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
+        some = high > low
+        if int(some.sum()) < self.bound:
             return []
         width = self.edits + 1
         bands: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for i in range(len(t) - q + 1):
-            hits = grams.get(t[i:i + q])
-            if hits:
-                for no, p in hits:
-                    b = (i - p) // width
-                    bands[no, b].append(i)  # bands of two widths overlap by one, so no region is cut in two
-                    if self.edits:
-                        bands[no, b - 1].append(i)
+        for i, a, z in zip(at[some].tolist(), low[some].tolist(), high[some].tolist()):
+            for no, p in zip(self.item[a:z].tolist(), self.place[a:z].tolist()):
+                b = (i - p) // width
+                bands[no, b].append(i)  # bands of two widths overlap by one, so no region is cut in two
+                if self.edits:
+                    bands[no, b - 1].append(i)
         out = set()
-        for (no, b), at in bands.items():
-            if len(at) < self.bound or self.items[no][0] in out:
+        for (no, b), hits in bands.items():
+            if len(hits) < self.bound or self.items[no][0] in out:
                 continue
-            at.sort()
+            hits.sort()
             # The lemma holds inside one window of the run's length (and its edits).
-            span, k = self.run + self.edits - q, self.bound - 1
-            regions = [(at[j], at[j + k]) for j in range(len(at) - k) if at[j + k] - at[j] <= span]
+            span, k = self.run + self.edits - self.q, self.bound - 1
+            regions = [(hits[j], hits[j + k]) for j in range(len(hits) - k) if hits[j + k] - hits[j] <= span]
             if regions and self._verified(t, self.items[no][1], b * width, regions):
                 out.add(self.items[no][0])
         return sorted(out)
@@ -114,6 +140,17 @@ def banded_run(t: str, s: str, diagonal: int, half: int, run: int, edits: int) -
     return False
 
 
+_BUILT: dict[str, PassageIndex] = {}
+
+
+def _built(name: str, shared, run: int, q: int, edits: int) -> PassageIndex:
+    """The index of a block, built once in each worker process however many tasks it runs."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = PassageIndex(shared.value, run, q, edits)
+    return _BUILT[name]
+
+
 def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, run: int = RUN,
                  q: int = Q, edits: int = 0, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, item_id``: texts that hold at least ``run`` consecutive letters and digits of a passage."""
@@ -124,10 +161,10 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     schema = f"{doc_id} {kind}, item_id {item_kind}"
 
     def scan(block):
-        shared = spark.sparkContext.broadcast(block)
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def work():
-            index = PassageIndex(shared.value, run, q, edits)
+            index = _built(name, shared, run, q, edits)
 
             def f(b):
                 for i, t in zip(b["_id"], b["_text"]):

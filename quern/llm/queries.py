@@ -83,6 +83,12 @@ def p9_found(spark, sf_dir):
     return leakage.leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
 
 
+@query
+def p9_edits(spark, sf_dir):
+    """As p9_found, but the 60 characters may differ by two edits: the alignment decides."""
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage", edits=2)
+
+
 @query
 def p5_found(spark, sf_dir):
     return page_model.surrounding_lines(table(spark, sf_dir, "documents"), "doc_id", "raw_text", "title")
