@@ -126,7 +126,7 @@ def plain(text: str) -> Tape:
     if _KO_RUN.search(t.text):
         t = rewrite(t, _KO_RUN, lambda m: "".join(_KO_DIGITS.get(c, "-" if c in "-." else "") for c in m.group()))
     if _EN_RUN.search(t.text):
-        t = rewrite(t, _EN_RUN, lambda m: "".join(_EN_DIGITS[w] for w in re.split("[ -]", m.group().lower())))
+        t = rewrite(t, _EN_RUN, _spoken_number)
     low = t.text.lower()
     if "at" in low or "골뱅이" in low or "@" in low:
         before = t
@@ -137,6 +137,12 @@ def plain(text: str) -> Tape:
     return t
 
 
+def _spoken_number(m: re.Match) -> str:
+    """Spelled digits; ten of them without a leading zero are written as a number in groups."""
+    d = "".join(_EN_DIGITS[w] for w in re.split("[ -]", m.group().lower()))
+    return f"{d[:3]}-{d[3:6]}-{d[6:]}" if len(d) == 10 and d[0] not in "01" else d
+
+
 def _dot_sign(m: re.Match) -> str | None:
     """A written-out dot is one only within the domain after an at sign."""
     head = m.string[max(0, m.start() - 80):m.start()]
@@ -149,6 +155,9 @@ _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*
 _RESIDENT = re.compile(r"(?<![\dA-Za-z\-])\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01]) ?-? ?\d{7}(?![\d\-]*\d)")
 _LICENCE = re.compile(r"(?<![\dA-Za-z\-])\d{2} ?- ?\d{2} ?- ?\d{6} ?- ?\d{2}(?![\-]?\d)")
 _PASSPORT = re.compile(r"(?<![A-Za-z0-9\-])[A-Z](?:\d{8}|\d{3}[A-Z]\d{4})(?![A-Za-z0-9])")
+_SOCIAL = re.compile(r"(?:SSN|[Ss]ocial [Ss]ecurity)(?: (?:[Nn]umber|[Nn]o\.?))?:? {0,2}(?:is )?(\d{3}-\d{2}-\d{4})(?![\-]?\d)")
+#: An international number: country code and 6 to 12 more digits in up to five groups.
+_ABROAD = re.compile(r"(?<![\dA-Za-z\-.+])\+(?=(?:[ .\-/()]*\d){8,15}(?![ .\-/()]*\d))\d{1,3}(?:[ .\-/]?\(\d{1,5}\))?(?:[ .\-/]?\d{2,8}|[ .\-/]\d){1,6}(?![\dA-Za-z]|[\-.]\d)")
 _PHONE = re.compile(
     r"(?<![\dA-Za-z\-.+])(?:"
     r"\+\d{1,3}[ .\-]?\(?\d{1,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{4}"
@@ -184,7 +193,14 @@ _BEFORE_EN = re.compile(
     r"(?:\b(?:[Mm]y name is|[Nn]ame ?:|[Pp]lease (?:call|ask|see|contact|e-mail|email)|[Mm]entor|[Tt]utor|[Ii]nstructor|[Cc]oordinator|[Aa]dvisor|[Cc]ounsellor|[Rr]oommate|[Rr]egistered as|"
     r"[Aa]ttention:?|[Aa]ttn\.?:?|[Dd]ear|[Ss]igned,?|[Ii] am|[Tt]hank you,?|[Tt]hanks to|c/o|[Aa]sk for|[Ss]peak to|[Ss]incerely,?|[Rr]egards,?|[Ff]rom:|[Tt]o:|[Aa]pplicant:?|[Pp]rofessor|[Ss]tudent)|\b(?:Dr|Prof|Mr|Ms|Mrs)\.?) "
     rf"({_NAME_EN})(?![A-Za-z@])")
-_NOT_NAME_EN = re.compile(r"\b(?:The|This|That|University|Office|Desk|Team|Unit|Centre|Center|Students?|Campus|Hall|Studio|Room|Department|Committee|Library|Services?|Support|Student|All|Sir|Madam|January|February|March|April|May|June|July|August|September|October|November|December)\b", re.I)
+#: Common given names (a parameter of the rule for names that stand alone): with a family name behind one of them two
+#: capitalised words are a name without any cue beside them.
+GIVEN_NAMES = ("James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Mark Donald Steven Paul Andrew Joshua Kenneth Kevin Brian George Edward Ronald Timothy "
+               "Jason Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Gregory Frank Alexander Raymond Patrick Jack Dennis Jerry Mary Patricia Jennifer Linda "
+               "Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Betty Margaret Sandra Ashley Kimberly Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Laura Sharon Cynthia Kathleen Amy "
+               "Angela Anna Pamela Emma Nicole Helen Samantha Katherine Christine Rachel Maria Alice Julia Sofia Ana Carlos Juan Jose Luis Pedro Hans Klaus Pierre Marie Jean Giulia Marco Ivan Olga").split()
+_ALONE_EN = re.compile(rf"(?<![A-Za-z@.\-])((?:{'|'.join(GIVEN_NAMES)}) (?:[A-Z]\. )?[A-Z][a-z]+(?:[\-'][A-Z]?[a-z]+)?)(?![A-Za-z@])")
+_NOT_NAME_EN = re.compile(r"\b(?:The|This|That|University|Office|Desk|Team|Unit|Centre|Center|Students?|Campus|Hall|Studio|Room|Department|Committee|Library|Services?|Support|Student|Course|Courses|Catalog|Catalogue|Station|Nations|School|College|Institute|Street|Road|Award|Prize|Scholarship|Building|Museum|Hospital|All|Sir|Madam|January|February|March|April|May|June|July|August|September|October|November|December)\b", re.I)
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 _RANK = {"id_number": 0, "email": 1, "address": 2, "phone": 3, "name": 4}
@@ -199,6 +215,12 @@ def _candidates(t: str):
         for p in (_RESIDENT, _LICENCE, _PASSPORT):
             for m in p.finditer(t):
                 yield "id_number", m.start(), m.end()
+        for m in _SOCIAL.finditer(t):
+            yield "id_number", m.start(1), m.end(1)
+        if "+" in t:
+            for m in _ABROAD.finditer(t):
+                if not _PHONE.match(t, m.start()):  # a known form ends where it says
+                    yield "phone", m.start(), m.end()
         for m in _PHONE.finditer(t):
             a, b = m.span()
             # A bracket that opens a remark around the number is no part of it.
@@ -219,9 +241,10 @@ def _candidates(t: str):
             b = a + len(name.rstrip())
             if not _NOT_NAME.search(name.replace(" ", "")):
                 yield "name", a, b
-    for m in _BEFORE_EN.finditer(t):
-        if not _NOT_NAME_EN.search(m.group(1)):
-            yield "name", m.start(1), m.end(1)
+    for p in (_BEFORE_EN, _ALONE_EN):
+        for m in p.finditer(t):
+            if not _NOT_NAME_EN.search(m.group(1)):
+                yield "name", m.start(1), m.end(1)
 
 
 def find(text: str) -> list[tuple[str, int, int]]:

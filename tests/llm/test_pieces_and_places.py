@@ -81,6 +81,26 @@ def test_leakage_with_edits():
         lk.PassageIndex([], run=20, q=12, edits=1)
 
 
+def test_index_is_small_and_refuses_chance():
+    """16 bytes a character behind a bitmap; a hash that meets by chance is refused by the alignment."""
+    rnd = random.Random(4)
+    items = [(i, "".join(rnd.choice("abcdefghij가나다라") for _ in range(2_000))) for i in range(50)]
+    index = lk.PassageIndex(items)
+    assert index.hashes.nbytes + index.item.nbytes + index.place.nbytes <= 16 * 50 * 2_000 and index.bitmap.nbytes <= 16 * 50 * 2_000
+    assert all(index.found("x" * 30 + s[700:760] + "y" * 30) == [i] for i, s in items) and index.found(items[0][1][700:759]) == []
+    index.hashes[:] = index.hashes[0]  # every gram meets every other
+    index.bitmap[:] = True
+    assert index.found("z" * 500) == [] and lk.PassageIndex([]).found("a" * 100) == []
+
+
+def test_edits_over_tables(spark):
+    s = "thequickbrownfoxjumpsoverthelazydogwhilethesunrisesabovethequiethillsandvalleys"
+    items = spark.createDataFrame([(7, s)], "item_id long, passage string")
+    docs = spark.createDataFrame([(1, s[:30] + "Q" + s[31:]), (2, s), (3, s[:30] + "zz9zz9zz9" + s[30:])], "doc_id long, text string")
+    run = lambda e: sorted(r.doc_id for r in lk.leaked_items(docs, "doc_id", "text", items, "item_id", "passage", edits=e).collect())
+    assert run(0) == [2] and run(2) == [1, 2]
+
+
 def test_best_fit_and_bound():
     for seed in range(30):
         rnd = random.Random(seed)
@@ -112,6 +132,17 @@ def test_containers_hold_everything_once(spark):
     assert pk._packed(df.limit(0), 100).count() == 0
 
 
+def test_best_round_stands_and_the_whole_is_certified(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.randint(20, 60)) for i in range(600)]
+    df = spark.createDataFrame(rows, "rec_id long, n_tokens long")
+    made = {k: pk.report(pk._packed(df, 100, partition_items=60, rounds=k), 100).first() for k in (1, 2, 3)}
+    # More rounds are never worse, and no packing is below the bound.
+    assert made[3].containers <= made[2].containers <= made[1].containers
+    assert all(r.bound <= r.containers and r.gap == r.containers - r.bound and r.tokens == sum(n for _, n in rows) and r.fullest <= 100 for r in made.values())
+    assert made[1].bound == made[3].bound == pk.lower_bound([n for _, n in rows], 100)
+
+
 def test_token_sizes(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "<|endoftext|>")], "id long, t string")
     got = {r.rec_id: r.n_tokens for r in pk.token_sizes(df, "id", "t").collect()}
@@ -139,6 +170,14 @@ CASES = [
     ("@누리솔 알림을 켜면 2026-04-15 소식을 17:50에 받습니다.", []),
     ("저는 신입생입니다. 담당자 확인을 거쳐 동의서의 유효 기간은 12일입니다.", []),
     ("the desk closes at 9:15 p.m. and opens at noon", []),
+    ("Contact John Smith today", [("name", "John Smith")]),
+    ("Maria Garcia lives here and Alice Johnson will come", [("name", "Maria Garcia"), ("name", "Alice Johnson")]),
+    ("+33 1 23 45 67 89 or +49 30 901820.", [("phone", "+33 1 23 45 67 89"), ("phone", "+49 30 901820")]),
+    ("연락 +82 10 0255 9446 69주차에는", [("phone", "+82 10 0255 9446")]),
+    ("SSN 123-45-6789 is on file, room 123-45-6789x", [("id_number", "123-45-6789")]),
+    ("call five five five one two three four five six seven now", [("phone", "five five five one two three four five six seven")]),
+    ("Dear Course Catalog, From: Seoul Station", []),
+    ("The tutor United Nations said 2+3 is 4+12345678", []),
 ]
 
 
