@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 WORD = "[가-힣A-Za-z0-9]+"
 # Fixed value: particles the search tokenizer takes off, in the order of trial.
@@ -134,22 +134,34 @@ def fixed_split(c: Column, size: int = 900, overlap: int = 100) -> Column:
     return F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(c, i * step + 1, size))).otherwise(F.array().cast("array<string>"))
 
 
+_SPACE = " \t\n\x0b\x0c\r\u00a0\u3000"
+_EMPTY_LINE = re.compile(r"\n\s*\n", re.ASCII)
+
+
+def packed_pieces(text: str | None, size: int = 900, overlap: int = 100) -> list[str]:
+    """Pieces of ``greedy_pack`` for one text, in one pass."""
+    out, buf, n = [], [], 0
+    for p in (p for x in _EMPTY_LINE.split(text or "") if (p := x.strip(_SPACE))):
+        if buf and (len(p) > size or n + 2 + len(p) > size):
+            out.append("\n\n".join(buf))
+            buf, n = [], 0
+        if len(p) > size:
+            step = size - overlap
+            out += [p[i:i + size] for i in range(0, max(len(p) - overlap, 1), step)]
+        else:
+            n += len(p) + (2 if buf else 0)
+            buf.append(p)
+    return [*out, "\n\n".join(buf)] if buf else out
+
+
 def greedy_pack(c: Column, size: int = 900, overlap: int = 100) -> Column:
     """Paragraphs packed in order up to ``size`` signs with an empty line between them; a longer paragraph closes
     the open piece and is cut by ``fixed_split``.  Packed pieces do not overlap."""
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("out"), F.lit("").alias("buf"))
-
-    def closed(acc):
-        return F.when(acc["buf"] != "", F.concat(acc["out"], F.array(acc["buf"]))).otherwise(acc["out"])
-
-    def step(acc, p):
-        joined = F.when(acc["buf"] == "", p).otherwise(F.concat(acc["buf"], F.lit("\n\n"), p))
-        return (F.when(F.length(p) > size, F.struct(F.concat(closed(acc), fixed_split(p, size, overlap)).alias("out"), F.lit("").alias("buf")))
-                .when(F.length(joined) <= size, F.struct(acc["out"].alias("out"), joined.alias("buf")))
-                .otherwise(F.struct(closed(acc).alias("out"), p.alias("buf"))))
+    @F.pandas_udf(ArrayType(StringType()))
+    def pack(texts: pd.Series) -> pd.Series:
+        return pd.Series([packed_pieces(t, size, overlap) for t in texts], dtype="object")
 
-    return F.aggregate(paragraphs(c), start, step, closed)
+    return pack(c)
 
 
 def sentences(c: Column, cut: int = 240, least: int = 20) -> Column:

@@ -13,19 +13,18 @@ HEADER = r"^\[ATTACHMENT: (.*)\]$"
 
 def attachment_sections(c: Column) -> Column:
     """array<struct<title, text>>: rows after an attachment header belong to it; text before the first has no title."""
-    lines = F.split(F.coalesce(c, F.lit("")), "\n", -1)
-    blank = F.lit("").cast("string")
-    start = F.struct(F.array().cast("array<struct<title:string,text:string>>").alias("out"), blank.alias("title"), blank.alias("buf"))
+    def of(lines: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(HEADER))
+        return let(heads, lambda at: F.filter(F.transform(F.sequence(F.lit(0), F.size(at)), lambda k: one(lines, at, k)), lambda s: s["text"] != ""))
 
-    def closed(acc):
-        return F.when(strip(acc["buf"]) != "", F.concat(acc["out"], F.array(F.struct(acc["title"].alias("title"), strip(acc["buf"]).alias("text"))))).otherwise(acc["out"])
+    def one(lines: Column, at: Column, k: Column) -> Column:
+        # Section k: lines between header k - 1 (none before the first) and header k (the end after the last).
+        start = F.when(k > 0, F.get(at, k - 1)).otherwise(-1)
+        end = F.coalesce(F.get(at, k), F.size(lines))
+        title = F.when(k > 0, F.regexp_extract(F.get(lines, start), HEADER, 1)).otherwise("")
+        return F.struct(title.alias("title"), strip(F.array_join(F.slice(lines, start + 2, end - start - 1), "\n")).alias("text"))
 
-    def step(acc, x):
-        name = F.regexp_extract(x, HEADER, 1)
-        return F.when(x.rlike(HEADER), F.struct(closed(acc).alias("out"), name.alias("title"), blank.alias("buf"))).otherwise(
-            F.struct(acc["out"].alias("out"), acc["title"].alias("title"), F.concat(acc["buf"], F.lit("\n"), x).alias("buf")))
-
-    return F.aggregate(lines, start, step, closed)
+    return let(F.split(F.coalesce(c, F.lit("")), "\n", -1), of)
 
 
 def sections(body: Column, table: Column, attachment: Column, image: Column) -> Column:
@@ -45,23 +44,26 @@ def has_text(*cs: Column) -> Column:
 
 
 def chunk_documents(docs: DataFrame, key: str, title: str, body: str, table: str, attachment: str, image: str, size: int = SIZE,
-                    overlap: int = OVERLAP, least: int = LEAST, cap: int = MAX_PER_SECTION) -> DataFrame:
+                    overlap: int = OVERLAP, least: int = LEAST, cap: int | None = MAX_PER_SECTION) -> DataFrame:
     """Chunk records ``key, chunk_id, chunk_index, section_index, section_type, section_title, piece_index, n_pieces,
     truncated, content, content_hash``.
 
     A chunk carries title and kind above its text; chunks below ``least`` signs leave before numbering; a section
-    keeps its first ``cap`` pieces and is marked as truncated beyond (a documented property of the index)."""
+    keeps its first ``cap`` pieces and is marked as truncated beyond (a documented property of the index); with ``cap``
+    None it keeps all."""
     parts = (docs.where(has_text(F.col(body), F.col(attachment), F.col(image)))
              .select(F.col(key), F.col(title).alias("_title"), F.posexplode(sections(F.col(body), F.col(table), F.col(attachment), F.col(image))).alias("s", "sec")))
     pieces = parts.select(key, "_title", (F.col("s") + 1).alias("section_index"), F.col("sec.kind").alias("section_type"), F.col("sec.title").alias("section_title"),
                           greedy_pack(F.col("sec.text"), size, overlap).alias("p"))
-    rows = pieces.select(key, "_title", "section_index", "section_type", "section_title", F.size("p").alias("n_pieces"), F.posexplode("p").alias("i", "text")).where(F.col("i") < cap)
+    rows = pieces.select(key, "_title", "section_index", "section_type", "section_title", F.size("p").alias("n_pieces"), F.posexplode("p").alias("i", "text"))
+    if cap is not None:
+        rows = rows.where(F.col("i") < cap)
     head = F.concat_ws("\n\n", F.concat(F.lit("[TITLE]\n"), F.coalesce("_title", F.lit(""))), F.concat(F.lit("["), F.upper("section_type"), F.lit("]\n"), F.col("text")))
     rows = rows.withColumn("content", head).where(F.length("content") >= least)
     n = F.row_number().over(Window.partitionBy(key).orderBy("section_index", "i"))
     return rows.withColumn("chunk_index", n).select(
         key, F.concat(F.col(key).cast("string"), F.lit("_chunk_"), F.lpad(F.col("chunk_index").cast("string"), 3, "0")).alias("chunk_id"), "chunk_index", "section_index", "section_type",
-        "section_title", (F.col("i") + 1).alias("piece_index"), "n_pieces", (F.col("n_pieces") > cap).alias("truncated"), "content", F.sha1("content").alias("content_hash"))
+        "section_title", (F.col("i") + 1).alias("piece_index"), "n_pieces", (F.col("n_pieces") > cap if cap is not None else F.lit(False)).alias("truncated"), "content", F.sha1("content").alias("content_hash"))
 
 
 def drop_repeated_lines(c: Column, least: int = 8, most: int = 3) -> Column:

@@ -66,15 +66,22 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k
 
 #: Rows the cell centres are fitted on (in order of a hash of the key); every row is indexed.
 FIT_ROWS = 20_000
+#: Rows of a cell, and queries that visit it, that meet in one task; larger cells are dealt out by a hash of the key.
+GROUP_ROWS, GROUP_QUERIES = 50_000, 5_000
 
 
 class CellIndex:
-    """Cells around centres fitted on a bounded sample; every row is filed under its nearest centre."""
+    """Cells around centres fitted on a bounded sample; every row is filed under its nearest centre.
 
-    def __init__(self, corpus: DataFrame, key: str, vector: str, cells: int = 16, rounds: int = 12, recall: float = 0.9):
+    Without ``cells`` there are as many as the root of the number of rows, up to a twentieth of the sample."""
+
+    def __init__(self, corpus: DataFrame, key: str, vector: str, cells: int | None = None, rounds: int = 12, recall: float = 0.9):
         self.key, self.vector = key, vector
-        sample = corpus.where(F.size(vector) > 0).orderBy(F.xxhash64(key)).limit(FIT_ROWS).select(vector).collect()
+        full = corpus.where(F.size(vector) > 0)
+        sample = full.orderBy(F.xxhash64(key)).limit(FIT_ROWS).select(vector).collect()
         m = _unit(np.asarray([r[0] for r in sample], dtype=np.float64)) if sample else np.zeros((1, 1))
+        if cells is None:
+            cells = max(16, min(int(full.count() ** 0.5), FIT_ROWS // 20))
         rng = np.random.default_rng(1)
         c = m[rng.permutation(len(m))[:cells]]
         for _ in range(rounds):
@@ -107,15 +114,42 @@ class CellIndex:
                 for j in range(near.shape[1]):
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near[:, j].astype("int32"))], names=["id", "v", "cell"])
 
-        return df.where(F.size(self.vector) > 0).select(F.col(self.key).alias("id"), F.col(self.vector).cast("array<double>").alias("v")).mapInArrow(run, f"id {kind}, v array<double>, cell int")
+        return df.where(F.size(self.vector) > 0).select(F.col(self.key).alias("id"), F.col(self.vector).cast("array<float>").alias("v")).mapInArrow(run, f"id {kind}, v array<float>, cell int")
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
         """Nearest rows within the ``probes`` cells nearest to each query (default: as many as the sample needs for the
-        recall asked for): cells meet by an equi-join."""
-        from quern.functions.scalars import dot, unit_vector
-
-        q = self._filed(queries, probes or self.probes).select(F.col("id").alias("query_id"), unit_vector(F.col("v")).alias("q"), "cell")
-        hits = self.rows.withColumn("v", unit_vector(F.col("v"))).join(q, "cell").where("id != query_id")
-        s = hits.select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), 6).alias("similarity"))
+        recall asked for).  Rows and queries of a cell meet in groups of bounded size and are compared by matrix
+        product; a group returns the best ``k`` of each query, so no pair is written out."""
+        kind = queries.schema[self.key].dataType.simpleString()
+        q = self._filed(queries, probes or self.probes).withColumnRenamed("id", "query_id")
+        sizes = self.rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("row_parts"))
+        sizes = sizes.join(q.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / GROUP_QUERIES).alias("query_parts")), "cell")  # cells that somebody visits
+        sizes = F.broadcast(sizes)  # one row a cell
+        part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+        rows = self.rows.join(sizes, "cell").select("cell", part("id", "row_parts").alias("r"), every("query_parts").alias("s"), "id", "v")
+        asked = q.join(sizes, "cell").select("cell", part("query_id", "query_parts").alias("s"), every("row_parts").alias("r"), "query_id", "v")
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = {"query_id": [], "id": [], "similarity": []}
+            if left.num_rows and right.num_rows:
+                ids, qid = left["id"].to_numpy(), right["query_id"].to_numpy()
+                m, asks = (_unit(_matrix(t["v"].combine_chunks(), None)) for t in (left, right))
+                step = max(1, 4_000_000 // len(ids))
+                for at in range(0, len(qid), step):
+                    s = np.round(asks[at:at + step] @ m.T, 6)
+                    s[qid[at:at + step, None] == ids[None, :]] = -np.inf
+                    if s.shape[1] > 4 * k:  # only what reaches the k-th is put in order
+                        s[s < np.partition(s, -k, axis=1)[:, [-k]]] = -np.inf
+                    order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+                    best = np.take_along_axis(s, order, 1)
+                    keep = np.isfinite(best)
+                    out["query_id"].append(np.repeat(qid[at:at + step], keep.sum(axis=1)))
+                    out["id"].append(ids[order[keep]])
+                    out["similarity"].append(best[keep])
+            kinds = {"query_id": right["query_id"].type, "id": left["id"].type, "similarity": pa.float64()}
+            return pa.table({n: pa.array(np.concatenate(v) if v else [], type=kinds[n]) for n, v in out.items()})
+
+        s = rows.groupBy("cell", "r", "s").cogroup(asked.groupBy("cell", "r", "s")).applyInArrow(meet, f"query_id {kind}, id {kind}, similarity double")
         w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
         return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

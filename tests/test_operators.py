@@ -142,3 +142,19 @@ def test_vectors(spark):
     assert vectors.cosine_top_k(df, df.limit(0), "id", "v", 2).count() == 0
 
 
+def test_cells_of_any_size(spark, monkeypatch):
+    """Cells dealt out over several groups give the same; a third of the rows in one place is no problem."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(600, 8))
+    m[400:] = m[0] + rng.normal(size=(200, 8)) * 1e-3
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(900, None), (901, [0.0] * 8)], "id long, v array<double>")
+    q = df.where("id % 50 = 0")
+    index = vectors.CellIndex(df, "id", "v")
+    assert len(index.centres) == 24
+    one = sorted(tuple(r) for r in index.search(q, 5).collect())
+    monkeypatch.setattr(vectors, "GROUP_ROWS", 40)
+    monkeypatch.setattr(vectors, "GROUP_QUERIES", 3)
+    assert sorted(tuple(r) for r in index.search(q, 5).collect()) == one
+    exact = {(r.query_id, r.id) for r in vectors.cosine_top_k(df, q, "id", "v", 5).collect()}
+    assert len({(a, b) for a, b, *_ in one} & exact) >= 0.9 * len(exact)
