@@ -133,16 +133,31 @@ def _escape(c):
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-@query("""SELECT doc_id, title, views, links, n_rows FROM (SELECT doc_id,
-  array_to_string(list_filter(regexp_split_to_array(regexp_replace(title, '[ \\t\\r\\f\\v]+', ' ', 'g'), '\\n'), lambda x: true), chr(10)) AS title, (doc_id * 7)::INTEGER AS views, 2::BIGINT AS links, 1::BIGINT AS n_rows FROM documents)""")
+@query("""WITH f AS (SELECT doc_id, list({'n': asset_index, 'id': id, 'name': '첨부 ' || file_name, 'url': file_url} ORDER BY asset_index, id) FILTER (WHERE asset_type = 'attachment' AND file_url IS NOT NULL) AS files,
+  list_sort(list_distinct(list(file_url) FILTER (WHERE asset_type = 'image' AND file_url IS NOT NULL))) AS images FROM document_assets GROUP BY doc_id),
+u AS (SELECT doc_id, images, list_filter(list_transform(files, lambda x, i: {'i': i, 'name': x.name, 'url': x.url}), lambda x: list_position(list_transform(files, lambda y: y.name || ' ' || y.url), x.name || ' ' || x.url) = x.i) AS files FROM f)
+SELECT doc_id, array_to_string(regexp_split_to_array(regexp_replace(title, '[ \\t\\r\\f\\v]+', ' ', 'g'), '\\n'), chr(10)) AS title, n_chars::INTEGER AS views, coalesce(strftime(published_at, '%Y-%m-%d'), nullif(regexp_extract(title || chr(10) || coalesce(text, ''), '\\d{4}-\\d{2}-\\d{2}', 0), '')) AS published, department AS author,
+ 1 + coalesce(len(list_distinct(list_transform(files, lambda x: x.url))), 0) AS links, coalesce(array_to_string(images, ' '), '') AS images,
+ coalesce(array_to_string(list_transform(files, lambda x: x.i || ' ' || x.name || ' ' || x.url), chr(10)), '') AS attachments, '[TABLE 1]' || chr(10) || source || ' | ' || source_type AS table_text
+FROM documents LEFT JOIN u USING (doc_id)""")
 def page_extract(spark, sf_dir):
-    """Fields of pages written from the table: what goes in must come out."""
-    html = F.concat(F.lit("<html><head><title>"), _escape(F.col("title")), F.lit("</title></head><body><nav><a href='/menu'>menu</a></nav><div class='content'><p>조회 "), (F.col("doc_id") * 7).cast("string"),
-                    F.lit("</p><p>"), _escape(F.coalesce("text", F.lit(""))), F.lit("</p><table><tr><td>a<td>b</table><a href='/d/"), F.col("doc_id").cast("string"),
-                    F.lit("'>x</a><a href='javascript:void(0)'>y</a><a href='f.pdf'>첨부</a></div></body></html>"))
+    """Fields of pages written from documents and their assets, with late and missing end tags, scripts, links that lead
+    nowhere and repeated files: what was put in must come out."""
+    a = table(spark, sf_dir, "document_assets").where("file_url is not null")
+    link = F.concat(F.lit("<li><a href='"), "file_url", F.lit("#top'>첨부  <b>"), _escape(F.col("file_name")), F.lit("</b></a>"))
+    item = F.struct("asset_index", "id", F.when(F.col("asset_type") == "image", F.concat(F.lit("<img alt=x src='"), "file_url", F.lit("'>"))).otherwise(link).alias("h"))
+    a = a.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["h"]), "\n").alias("assets"))
+    d = _docs(spark, sf_dir).join(a, "doc_id", "left")
+    part = lambda before, c, after: F.coalesce(F.concat(F.lit(before), c, F.lit(after)), F.lit(""))
+    html = F.concat(F.lit("<html><head><script>var a='<div class=content>';</script><title>"), _escape(F.col("title")), F.lit("</title><body><nav><a href='/menu'>menu</a></nav><div class='content'>"),
+                    part("<p>작성자: ", _escape(F.col("department")), "</p>"), part("<p>작성일: ", F.date_format("published_at", "yyyy-MM-dd"), "<p>"), part("조회수 ", F.format_number("n_chars", 0), "</p>"),
+                    F.lit("<table><tr><td>"), F.col("source"), F.lit("<td>"), F.col("source_type"), F.lit("</table><ul>"), F.coalesce("assets", F.lit("")), F.lit("</ul><a href='/d/"), F.col("doc_id").cast("string"),
+                    F.lit("'>x</a><a href='javascript:void(0)'>y</a><a href='mailto:a@b'>z</a><div>"), _escape(F.coalesce("text", F.lit(""))), F.lit("</div></div>"))
     url = F.concat(F.lit("https://host.example/p/"), F.col("doc_id").cast("string"))
-    f = _docs(spark, sf_dir).select("doc_id", page_fields(html, url).alias("f"))
-    return f.select("doc_id", "f.title", "f.views", F.size("f.links").cast("long").alias("links"), F.size(F.filter(F.split("f.table_text", "\n"), lambda x: x.contains(" | "))).cast("long").alias("n_rows"))
+    f = d.select("doc_id", page_fields(html, url).alias("f"))
+    files = F.transform("f.attachments", lambda x: F.concat_ws(" ", x["index"].cast("string"), x["name"], x["url"]))
+    return f.select("doc_id", "f.title", "f.views", F.col("f.published_at").alias("published"), "f.author", F.size("f.links").cast("long").alias("links"), F.array_join("f.images", " ").alias("images"),
+                    F.array_join(files, "\n").alias("attachments"), "f.table_text")
 
 
 @query("""SELECT doc_id, string_agg('[ATTACHMENT: ' || coalesce(file_name, '') || ']' || chr(10) || regexp_replace(extracted_text, '^[\\s\\x{00A0}\\x{3000}]+|[\\s\\x{00A0}\\x{3000}]+$', '', 'g'), chr(10) || chr(10) ORDER BY asset_index, id) AS merged
