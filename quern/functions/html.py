@@ -16,8 +16,13 @@ _BLOCK = {"p", "div", "li", "tr", "br", "h1", "h2", "h3", "h4", "h5", "h6", "td"
 #: Kinds and class words of nodes that hold no content.
 NOISE_TAGS = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript"}
 NOISE_CLASSES = re.compile(r"\b(?:menu|nav|footer|header|sidebar|breadcrumb|share|sns|gnb|lnb)\b", re.I)
-CONTENT_CLASSES = ["board-view", "view-content", "article-content", "content", "contents"]
-TITLE_CLASSES = ["view-title", "board-title", "title", "subject"]
+# Where the content of a board's article and of a static page stands, in the order of trial; what leaves a
+# static page's content; where a title stands if the page names none; labels that end an author's name.
+BOARD_CONTENT = [".board_view .cont", ".board_view .content", ".board-view .cont", ".board-view .content", ".view_cont", ".view-content", "#contents", "#content", ".content", "main", ".fr-view"]
+STATIC_CONTENT = ["main", "#contents", "#content", ".contents", ".content", ".sub-content", ".cont", "#board_skin"]
+STATIC_NOISE = ["header", "footer", "nav", "aside", "script", "style", ".breadcrumb", ".quick", ".quickMenu", ".pagination", ".sns", ".share"]
+TITLES = ["h2", "h3", ".title", ".sub-title", ".page-title", ".contents-title"]
+AUTHOR_ENDS = "조회수|작성일|첨부파일|목록|이전글|다음글"
 
 
 class Node:
@@ -96,25 +101,42 @@ def find_title(root: Node, hint: str | None = None) -> str:
     for n in nodes:
         if n.tag == "title" and n.text().strip():
             return n.text().strip()
-    for wanted in TITLE_CLASSES:
-        for n in nodes:
-            if wanted in n.classes().split() and n.text().strip():
-                return n.text().strip()
-    return next((n.text() for n in nodes if n.tag in ("h1", "h2") and n.text()), "")
+    return next((t for sel in (*TITLES, "h1") if (n := select(root, sel)) and (t := " ".join(n.text().split()))), "")
+
+
+def is_kind(n: Node, simple: str) -> bool:
+    """Does a node meet ``tag``, ``.class`` or ``#id``?"""
+    if simple.startswith("."):
+        return simple[1:] in n.classes().split()
+    return n.attrs.get("id") == simple[1:] if simple.startswith("#") else n.tag == simple
+
+
+def select(root: Node, selector: str) -> Node | None:
+    """First node in document order that meets a selector of one kind, or of an ancestor's and its own."""
+    *above, own = selector.split()
+    for n in root.walk():
+        if is_kind(n, own):
+            p, wanted = n.parent, list(above)
+            while p is not None and wanted:
+                if is_kind(p, wanted[-1]):
+                    wanted.pop()
+                p = p.parent
+            if not wanted:
+                return n
+    return None
 
 
-def find_content(root: Node) -> Node:
-    nodes = list(root.walk())
-    for wanted in CONTENT_CLASSES:
-        for n in nodes:
-            if wanted in n.classes().split():
-                return n
-    divs = [n for n in nodes if n.tag == "div"]
-    return max(divs, key=lambda n: len(n.text())) if divs else root  # the first of equal length
+def find_content(root: Node, selectors: list[str] = BOARD_CONTENT) -> Node:
+    """The first node that a selector finds, in their order; else the div with the longest text, of equal ones the first."""
+    for sel in selectors:
+        if (n := select(root, sel)) is not None:
+            return n
+    divs = [n for n in root.walk() if n.tag == "div"]
+    return max(divs, key=lambda n: len(n.text())) if divs else root
 
 
 def without_noise(n: Node) -> Node:
-    n.children = [c for c in n.children if isinstance(c, str) or not (c.tag in NOISE_TAGS or NOISE_CLASSES.search(c.classes()))]
+    n.children = [c for c in n.children if isinstance(c, str) or not (c.tag in NOISE_TAGS or NOISE_CLASSES.search(c.classes()) or any(is_kind(c, s) for s in STATIC_NOISE))]
     for c in n.children:
         if isinstance(c, Node):
             without_noise(c)
@@ -134,13 +156,15 @@ def tables(node: Node) -> str:
     return "\n\n".join(out)
 
 
-def fields(html: str | None, url: str | None, hint: str | None = None) -> dict:
+def fields(html: str | None, url: str | None, hint: str | None = None, static: bool = False) -> dict:
+    """Fields of a page; ``static``: not a board's article."""
     root = parse(html or "")
-    node = find_content(root)
+    node = find_content(root, STATIC_CONTENT if static else BOARD_CONTENT)
     text = root.text()
     date = re.search(r"(?:작성일|등록일|Date)\s*[:：]?\s*(\d{4}[-./]\d{1,2}[-./]\d{1,2})", text) or re.search(r"(\d{4}-\d{2}-\d{2})", text)
     views = re.search(r"(?:조회수?|Views)\s*[:：]?\s*([\d,]+)", text)
-    author = re.search(r"(?:작성자|글쓴이|Author)\s*[:：]?\s*([^\n|]{1,40})", text)
+    author = re.search(r"(?m)^\s*(?:작성자|글쓴이|부서|Author)\s*[:：]?\s*([^\n|]{1,40})", text)
+    who = re.split(rf"\s*(?:{AUTHOR_ENDS})\s*", author.group(1))[0].strip(" :") if author else ""
     links, images, files = set(), set(), []
     for n in node.walk():
         if n.tag == "a" and (h := n.attrs.get("href")):
@@ -159,7 +183,7 @@ def fields(html: str | None, url: str | None, hint: str | None = None) -> dict:
             unique.append({"index": i, **f})
     table = tables(node)
     return {"title": find_title(root, hint), "content": without_noise(node).text(), "table_text": table, "published_at": date.group(1) if date else None,
-            "views": int(views.group(1).replace(",", "")) if views else None, "author": author.group(1).strip() if author else None,
+            "views": int(views.group(1).replace(",", "")) if views else None, "author": who or None,
             "links": sorted(links), "images": sorted(images), "attachments": unique}
 
 

@@ -108,3 +108,15 @@ def test_intents(spark):
     rude = understand.abusive(F.col("q"), ["바보"], [])
     got = [r.i for r in df.select(understand.intent(F.col("q"), abuse=rude, domain=["등록금"], question=["얼마"], time=["오늘"], patterns=["[0-9]+월"]).alias("i")).collect()]
     assert got == ["INFO", "GENERAL", "PROFANITY", "GENERAL"]
+
+
+def test_html_selectors_and_meta():
+    page = ("<div id=x><main>m</main></div><div class='board_view big'><p><div class='info cont'>body<table><tr><td>a<td>b<tr><td><table><tr><td>inner</table></table>"
+            "<img src=p.png><img src='/p.png'><a href='f.pdf'>첨부 one</a><a href='f.pdf'>첨부 one</a><a href='g.hwp'>two</a></div></div><p>작성자<p>홍길동 조회수 1,234<p>작성일: 2026-01-02<p>2020-01-01")
+    f = html.fields(page, "https://h/b/")
+    assert f["content"].startswith("body") and (f["published_at"], f["views"], f["author"]) == ("2026-01-02", 1234, "홍길동")
+    assert f["images"] == ["https://h/b/p.png", "https://h/p.png"] and [(a["index"], a["url"][-5:]) for a in f["attachments"]] == [(1, "f.pdf"), (3, "g.hwp")]
+    assert "a | b" in f["table_text"] and html.fields(page, "https://h/", static=True)["content"] == "m"
+    root = html.parse("<h3>three</h3><div class='sub-title'>s</div><nav><p class=cont>no</p></nav>")
+    assert html.find_title(root) == "three" and html.select(root, "nav .cont").text() == "no" and html.select(root, ".cont nav") is None
+    assert html.without_noise(html.parse("<div>a<div class='quickMenu'>q</div><aside>z</aside>b</div>")).text().replace("\n", "") == "ab"
