@@ -199,7 +199,8 @@ GIVEN_NAMES = ("James John Robert Michael William David Richard Joseph Thomas Ch
                "Jason Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Gregory Frank Alexander Raymond Patrick Jack Dennis Jerry Mary Patricia Jennifer Linda "
                "Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Betty Margaret Sandra Ashley Kimberly Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Laura Sharon Cynthia Kathleen Amy "
                "Angela Anna Pamela Emma Nicole Helen Samantha Katherine Christine Rachel Maria Alice Julia Sofia Ana Carlos Juan Jose Luis Pedro Hans Klaus Pierre Marie Jean Giulia Marco Ivan Olga").split()
-_ALONE_EN = re.compile(rf"(?<![A-Za-z@.\-])((?:{'|'.join(GIVEN_NAMES)}) (?:[A-Z]\. )?[A-Z][a-z]+(?:[\-'][A-Z]?[a-z]+)?)(?![A-Za-z@])")
+_GIVEN = frozenset(GIVEN_NAMES)
+_ALONE_EN = re.compile(r"(?<![A-Za-z@.\-])([A-Z][a-z]+)(?= ((?:[A-Z]\. )?[A-Z][a-z]+(?:[\-'][A-Z]?[a-z]+)?)(?![A-Za-z@]))")
 _NOT_NAME_EN = re.compile(r"\b(?:The|This|That|University|Office|Desk|Team|Unit|Centre|Center|Students?|Campus|Hall|Studio|Room|Department|Committee|Library|Services?|Support|Student|Course|Courses|Catalog|Catalogue|Station|Nations|School|College|Institute|Street|Road|Award|Prize|Scholarship|Building|Museum|Hospital|All|Sir|Madam|January|February|March|April|May|June|July|August|September|October|November|December)\b", re.I)
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -241,10 +242,12 @@ def _candidates(t: str):
             b = a + len(name.rstrip())
             if not _NOT_NAME.search(name.replace(" ", "")):
                 yield "name", a, b
-    for p in (_BEFORE_EN, _ALONE_EN):
-        for m in p.finditer(t):
-            if not _NOT_NAME_EN.search(m.group(1)):
-                yield "name", m.start(1), m.end(1)
+    for m in _BEFORE_EN.finditer(t):
+        if not _NOT_NAME_EN.search(m.group(1)):
+            yield "name", m.start(1), m.end(1)
+    for m in _ALONE_EN.finditer(t):
+        if m.group(1) in _GIVEN and not _NOT_NAME_EN.search(m.group(2)):
+            yield "name", m.start(1), m.end(2)
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
