@@ -75,6 +75,31 @@ def understand_questions(spark, sf_dir):
     return out.select("id", "normalized_query", "keywords", F.to_json("entities").alias("entities"), F.to_json("filters").alias("filters"), "category", "rewritten_queries")
 
 
+PATTERNS, SOFT, CONTEXTS = ["바.?보", "st[u*]pid"], ["멍하", "답답"], ["정말", "you"]
+
+
+@query(f"""WITH n AS (SELECT id, lower(coalesce(question, '')) AS raw, {_SQ} AS sq, regexp_replace(translate(lower(coalesce(question, '')), '@013457$', 'aoieasts'), '[^0-9a-z가-힣ㄱ-ㅎㅏ-ㅣ]+', ' ', 'g') AS sp FROM query_logs)
+SELECT id, ({_likes('sq', RUDE)} OR regexp_matches(raw, '바.?보|st[u*]pid') OR regexp_matches(sp, '바.?보|st[u*]pid') OR regexp_matches(sq, '바.?보|st[u*]pid')
+ OR (({_likes('sq', SOFT)}) AND regexp_matches(raw, '정말|you'))) AS rude FROM n""")
+def abuse_check(spark, sf_dir):
+    """Words, patterns on three forms, and soft words within their contexts."""
+    return table(spark, sf_dir, "query_logs").select("id", u.abusive(F.col("question"), RUDE, PATTERNS, SOFT, CONTEXTS).alias("rude"))
+
+
+LABELS = {"time": [("[0-9]{1,2}월", "month"), ("[0-9]{4}[-.]", "year")]}
+
+
+@query("""SELECT id, CASE WHEN contains(question, '이번') OR contains(question, 'now') THEN 'now,' ELSE '' END || CASE WHEN regexp_matches(question, '[0-9]{1,2}월') THEN 'month,' ELSE '' END || CASE WHEN regexp_matches(question, '[0-9]{4}[-.]') THEN 'year,' ELSE '' END AS times,
+ CASE WHEN contains(question, '도서관') OR contains(question, '열람석') OR contains(question, 'library') THEN 'library' END AS place FROM query_logs WHERE question IS NOT NULL""")
+def entity_labels(spark, sf_dir):
+    """Entities by name, word and pattern; filters in their known order."""
+    none = F.array().cast("array<string>")
+    e = u.entities(F.col("question"), none, {"time": {"now": ["이번"]}, "place": {"library": ["도서관", "열람석"]}, "person": {"student": ["학생"]}}, LABELS)
+    q = table(spark, sf_dir, "query_logs").where("question is not null").select("id", u.filters(e, {}, ["place", "time"]).alias("f"))
+    times = F.coalesce(F.array_join(F.transform(F.element_at("f", "time"), lambda x: F.concat(x, F.lit(","))), ""), F.lit(""))
+    return q.select("id", times.alias("times"), F.get(F.element_at("f", "place"), F.lit(0)).alias("place"))
+
+
 _TERMS = " UNION ALL ".join(f"SELECT id, '{t}' AS term, position('{t}' IN question) + {len(t)} AS e, -{len(t)} AS l FROM query_logs WHERE contains(question, '{t}')" for t in DOMAIN)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import object_or_empty, texts_only, vector_literal
-from quern.operators import crawl, merge, vectors
+from quern.operators import crawl, ingest, merge, vectors
 from quern.plans.tables import table
 from quern.sources import sinks
 
@@ -131,6 +131,18 @@ def vector_cells(spark, sf_dir):
     return vectors.CellIndex(e, "vec_id", "embedding").search(e.where("vec_id % 50 = 0"), 10)
 
 
+@query("""WITH c AS (SELECT id, chunk_id, updated_at, row_number() OVER (PARTITION BY chunk_id ORDER BY updated_at DESC NULLS LAST, id DESC) AS n FROM chunks)
+SELECT e.vec_id AS id, c.n IS NOT NULL AS renewed, 2 + 0 * e.vec_id::INTEGER AS first_two FROM embeddings e LEFT JOIN c ON c.id = e.vec_id AND c.n = 1 UNION ALL
+SELECT c.id, true, 2 FROM c WHERE n = 1 AND trim(coalesce((SELECT content FROM chunks k WHERE k.id = c.id), '')) <> '' AND NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = c.id)""".replace("c.n IS NOT NULL AS renewed", "c.n IS NOT NULL AND trim(coalesce((SELECT content FROM chunks k WHERE k.id = e.vec_id), '')) <> '' AS renewed"))
+def upsert_embeddings(spark, sf_dir):
+    """Vectors of the latest chunks on top of the stored ones: the same key is replaced, others stay or join."""
+    chunks = merge.latest(table(spark, sf_dir, "chunks"), ["chunk_id"], [F.desc_nulls_last("updated_at"), F.desc("id")])
+    new = ingest.embedded(chunks, "id", "content", size=64).withColumn("renewed", F.lit(True))
+    old = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"), F.lit(False).alias("renewed"))
+    out = merge.upsert(old, new, ["id"])
+    return out.select("id", "renewed", F.size(F.slice("embedding", 1, 2)).alias("first_two"))
+
+
 @query()
 def vector_literals(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", vector_literal(F.col("embedding")).alias("literal"), F.size("embedding").alias("dimension"))

@@ -120,3 +120,12 @@ def test_html_selectors_and_meta():
     root = html.parse("<h3>three</h3><div class='sub-title'>s</div><nav><p class=cont>no</p></nav>")
     assert html.find_title(root) == "three" and html.select(root, "nav .cont").text() == "no" and html.select(root, ".cont nav") is None
     assert html.without_noise(html.parse("<div>a<div class='quickMenu'>q</div><aside>z</aside>b</div>")).text().replace("\n", "") == "ab"
+
+
+def test_long_lexicons_match_alike(spark):
+    from quern.operators import understand as u
+    terms = ["ab", "abc", "bc", "가나", "나다", "가나다"] + [f"zz{i}" for i in range(80)]
+    rows = [("xabcx ab",), ("가나다 abc",), ("",), (None,), ("zz7 zz70 bc",)]
+    got = [r.t or [] for r in spark.createDataFrame(rows, "s string").select(u.lexicon_hits(F.col("s"), terms).alias("t")).collect()]
+    want = [sorted((t for t in terms if s and t in s), key=lambda t: (s.index(t) + len(t), -len(t), t)) for s, in rows]
+    assert got == want
