@@ -12,7 +12,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _ENDS_BEFORE = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "li": {"li"}, "p": {"p"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
-_BLOCK = {"p", "div", "li", "tr", "br", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "section", "article", "table", "ul", "ol", "dt", "dd"}
+#: Elements whose text stands on lines of its own.
+BLOCKS = {"p", "div", "li", "tr", "br", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "section", "article", "table", "ul", "ol", "dt", "dd"}
 #: Kinds and class words of nodes that hold no content.
 NOISE_TAGS = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript"}
 NOISE_CLASSES = re.compile(r"\b(?:menu|nav|footer|header|sidebar|breadcrumb|share|sns|gnb|lnb)\b", re.I)
@@ -46,7 +47,7 @@ class Node:
             if isinstance(n, str):
                 out.append(n)
             elif n.tag not in skip:
-                if n.tag in _BLOCK:
+                if n.tag in BLOCKS:
                     out.append("\n")
                     todo.append("\n")
                 todo.extend(reversed(n.children))
