@@ -7,6 +7,9 @@ shape of a line gives the local evidence, and one sum-product pass up and one
 down yield the marginal of every line.  Potentials and weights are trained from
 labelled pages (``page_training``) and kept in ``models/page_model.json``.
 
+Pages that come as HTML have a tree of their own: there a block is what hangs on one
+document node (``html_main_body``).
+
 A null text has no lines. Empty lines belong to the main body (they hold
 nothing to remove). Without a title, or with one that does not stand in the
 page, the page is one region.
@@ -23,6 +26,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.html import BLOCKS
+from quern.functions.html import parse as parse_html
 from quern.llm.arrow import map_rows
 from quern.llm.visual_form import letters_and_digits, visual_key
 
@@ -147,8 +152,9 @@ class PageModel:
                     regions[i] = name + "0"
         return lines, titles, regions
 
-    def marginals(self, text: str, title: str | None) -> list[float]:
-        """Probability of main body, line by line."""
+    def marginals(self, text: str, title: str | None, nodes: list[int] | None = None) -> list[float]:
+        """Probability of main body, line by line.  ``nodes``: of each line the document node its block hangs on, where
+        the page comes as a tree; else blocks are runs of equally built lines."""
         lines, titles, regions = self.layout(text, title)
         out = [1.0] * len(lines)
         ev: list[tuple[float, str] | None] = [None if not x.strip() else self.evidence(x, t, r) for x, t, r in zip(lines, titles, regions)]
@@ -157,18 +163,18 @@ class PageModel:
             region, j = regions[i], i
             while j < len(lines) and regions[j] == region:
                 j += 1
-            self._region(region, ev, i, j, out)
+            self._region(region, ev, i, j, out, nodes)
             i = j
         return out
 
-    def _region(self, region: str, ev: list, start: int, end: int, out: list[float]) -> None:
-        # Blocks: runs of equally built lines (empty lines lie between them).
+    def _region(self, region: str, ev: list, start: int, end: int, out: list[float], nodes: list[int] | None) -> None:
+        # Blocks: runs of equally built lines (empty lines lie between them), or of lines under one node.
         blocks: list[tuple[str, list[int]]] = []
         for i in range(start, end):
             if ev[i] is None:
                 continue
             kind = ev[i][1]
-            if blocks and blocks[-1][0] == kind and blocks[-1][1][-1] == i - 1:
+            if blocks and (nodes[blocks[-1][1][-1]] == nodes[i] if nodes else blocks[-1][0] == kind and blocks[-1][1][-1] == i - 1):
                 blocks[-1][1].append(i)
             else:
                 blocks.append((kind, [i]))
@@ -243,3 +249,69 @@ def main_body(df: DataFrame, doc_id: str, text: str, title: str) -> DataFrame:
 
     rows = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(title).alias("_title"))
     return map_rows(rows, f"{doc_id} {kind}, main_body string", work)
+
+
+def html_lines(html: str) -> tuple[list[str], list[int]]:
+    """Lines of an HTML page and, of each, the number of the document node its block hangs on.
+
+    A line is the text of a block element, or loose text between blocks.  The lines of elements without blocks in them
+    hang on their common parent, so the items of a list or the paragraphs of an article are one block.  The cells of a
+    table's row are one line; scripts and styles have none."""
+    lines: list[str] = []
+    nodes: list[int] = []
+    buf: list[str] = []
+
+    def flush(node: int) -> None:
+        if text := " ".join("".join(buf).split()):
+            lines.append(text)
+            nodes.append(node)
+        buf.clear()
+
+    number = 0
+    todo: list[tuple] = [(parse_html(html), [0, 0, True])]  # element or text, and its block: number, parent's number, has blocks
+    while todo:
+        n, block = todo.pop()
+        if n is None:
+            flush(block[0] if block[2] else block[1])
+        elif isinstance(n, str):
+            buf.append(n)
+        elif n.tag in ("script", "style"):
+            continue
+        elif n.tag == "br":
+            flush(block[0])
+        elif n.tag in ("td", "th"):
+            if "".join(buf).strip():
+                buf.append(" | ")
+            todo += [(c, block) for c in reversed(n.children)]
+        elif n.tag in BLOCKS:
+            flush(block[0])
+            block[2] = True
+            number += 1
+            inner = [number, block[0], False]
+            todo.append((None, inner))
+            todo += [(c, inner) for c in reversed(n.children)]
+        else:
+            todo += [(c, block) for c in reversed(n.children)]
+    flush(0)
+    return lines, nodes
+
+
+def html_main_body(df: DataFrame, doc_id: str, html: str, title: str) -> DataFrame:
+    """``doc_id, main_body``: the main body of HTML pages, by the same model over the document's own nodes (null html
+    gives null)."""
+    kind = df.schema[doc_id].dataType.simpleString()
+
+    def work():
+        model = PageModel()
+
+        def f(b):
+            for i, t, head in zip(b["_id"], b["_text"], b["_title"]):
+                if t is None:
+                    yield i, None
+                    continue
+                lines, nodes = html_lines(t)
+                yield i, "\n".join(x for x, p in zip(lines, model.marginals("\n".join(lines), head, nodes)) if p >= 0.5)
+        return f
+
+    rows = df.select(F.col(doc_id).alias("_id"), F.col(html).alias("_text"), F.col(title).alias("_title"))
+    return map_rows(rows, f"{doc_id} {kind}, main_body string", work)

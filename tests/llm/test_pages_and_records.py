@@ -17,6 +17,22 @@ def test_page_body(spark):
     assert pm.surrounding_lines(df.limit(0), "doc_id", "raw_text", "title").count() == 0
 
 
+HTML = ("<html><body><ul id=menu><li>학교안내<li>입학정보</ul><div>Home &gt; 장학 &gt; 등록금 납부</div><div class=view><h2>등록금 납부 안내 (제2026-1호)</h2><p>등록일 2026.01.02 | 조회 17"
+        "<div><p>등록금 납부 기간은 3월 2일부터 8일까지이며, 기간이 <b>지나면</b> 추가 비용이 발생할 수 있습니다.<table><tr><td>장소<td>본관 통합민원실</table></div></div>"
+        "<script>var x = 1;</script><div><h4>관련 글 목록</h4><ul><li>장학금 신청 안내 (제2025-12345호)<li>휴학 신청 안내 (제2024-77호)</ul></div><p>Copyright Nurisol University. All rights reserved.")
+
+
+def test_page_body_of_html(spark):
+    lines, nodes = pm.html_lines(HTML)
+    assert lines[:2] == ["학교안내", "입학정보"] and nodes[0] == nodes[1] != nodes[2] and "장소 | 본관 통합민원실" in lines and not any("var x" in x for x in lines)
+    assert pm.html_lines("") == ([], []) and pm.html_lines("a<br>b<div>c</div>d")[0] == ["a", "b", "c", "d"]
+    assert len(pm.html_lines("<div>" * 3000 + "x")[0]) == 1
+    df = spark.createDataFrame([(1, HTML, "등록금 납부 안내 (제2026-1호)"), (2, None, None), (3, "", None)], "doc_id long, html string, title string")
+    got = {r.doc_id: r.main_body for r in pm.html_main_body(df, "doc_id", "html", "title").collect()}
+    assert got[1].split("\n") == ["등록금 납부 안내 (제2026-1호)", "등록금 납부 기간은 3월 2일부터 8일까지이며, 기간이 지나면 추가 비용이 발생할 수 있습니다.", "장소 | 본관 통합민원실"]
+    assert got[2] is None and got[3] == ""
+
+
 def test_messages_agree_with_enumeration():
     """Sum-product on a small tree gives the marginals of a full enumeration."""
     import itertools
