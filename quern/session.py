@@ -36,13 +36,23 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+def _steps(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/steps-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, label: str = "step") -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_steps(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_steps(spark: SparkSession) -> None:
+    """Remove the tables between steps that this application has written, once its results are stored elsewhere.  The
+    retrieval index stays."""
+    remove(spark, _steps(spark))
+
+
 def spread(df: DataFrame, limit: int = 256 << 20) -> DataFrame:
     """A small table of few files is dealt out to all cores before costly expressions; larger tables, which have
     splits enough, stay as they are."""

@@ -63,3 +63,13 @@ def test_full_text_in_one_pass(spark):
         floor = mine[min(4, len(mine)) - 1]
         assert {k: v for k, v in part.items() if k[0] == q} == {k: v for k, v in got.items() if k[0] == q and v >= floor}
     assert retrieve.full_text(d, "id", F.col("s"), t.limit(0)).count() == 0
+
+
+def test_steps_can_be_cleared(spark):
+    from quern.session import clear_steps, written
+    kept = retrieve.Index(spark.createDataFrame([(1, "등록 기간")], "id long, s string"), "id", F.col("s"), buckets=2)
+    path = written(spark.range(3), "x").inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    import os
+    assert os.path.exists(path)
+    clear_steps(spark)
+    assert not os.path.exists(path) and kept.postings.count() == 2 and written(spark.range(3)).count() == 3
