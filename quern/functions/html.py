@@ -22,6 +22,7 @@ NOISE_CLASSES = re.compile(r"\b(?:menu|nav|footer|header|sidebar|breadcrumb|shar
 BOARD_CONTENT = [".board_view .cont", ".board_view .content", ".board-view .cont", ".board-view .content", ".view_cont", ".view-content", "#contents", "#content", ".content", "main", ".fr-view"]
 STATIC_CONTENT = ["main", "#contents", "#content", ".contents", ".content", ".sub-content", ".cont", "#board_skin"]
 STATIC_NOISE = ["header", "footer", "nav", "aside", "script", "style", ".breadcrumb", ".quick", ".quickMenu", ".pagination", ".sns", ".share"]
+_STATIC_NOISE = frozenset(STATIC_NOISE)
 TITLES = ["h2", "h3", ".title", ".sub-title", ".page-title", ".contents-title"]
 AUTHOR_ENDS = "조회수|작성일|첨부파일|목록|이전글|다음글"
 
@@ -98,11 +99,11 @@ def parse(html: str) -> Node:
 def find_title(root: Node, hint: str | None = None) -> str:
     if hint and hint.strip():
         return hint.strip()
-    nodes = list(root.walk())
-    for n in nodes:
-        if n.tag == "title" and n.text().strip():
+    kinds = _by_kind(root)
+    for n in kinds.get("title", ()):
+        if n.text().strip():
             return n.text().strip()
-    return next((t for sel in (*TITLES, "h1") if (n := select(root, sel)) and (t := " ".join(n.text().split()))), "")
+    return next((t for sel in (*TITLES, "h1") if (n := select(root, sel, kinds)) and (t := " ".join(n.text().split()))), "")
 
 
 def is_kind(n: Node, simple: str) -> bool:
@@ -112,32 +113,45 @@ def is_kind(n: Node, simple: str) -> bool:
     return n.attrs.get("id") == simple[1:] if simple.startswith("#") else n.tag == simple
 
 
-def select(root: Node, selector: str) -> Node | None:
+def _by_kind(root: Node) -> dict[str, list[Node]]:
+    """Nodes of a page in document order by tag, ``.class`` and ``#id``, kept with its root."""
+    out: dict[str, list[Node]] = {}
+    for n in root.walk():
+        out.setdefault(n.tag, []).append(n)
+        if n.attrs:
+            for c in dict.fromkeys(n.classes().split()):
+                out.setdefault("." + c, []).append(n)
+            if n.attrs.get("id"):
+                out.setdefault("#" + n.attrs["id"], []).append(n)
+    return out
+
+
+def select(root: Node, selector: str, kinds: dict[str, list[Node]] | None = None) -> Node | None:
     """First node in document order that meets a selector of one kind, or of an ancestor's and its own."""
     *above, own = selector.split()
-    for n in root.walk():
-        if is_kind(n, own):
-            p, wanted = n.parent, list(above)
-            while p is not None and wanted:
-                if is_kind(p, wanted[-1]):
-                    wanted.pop()
-                p = p.parent
-            if not wanted:
-                return n
+    for n in (kinds if kinds is not None else _by_kind(root)).get(own, ()):
+        p, wanted = n.parent, list(above)
+        while p is not None and wanted:
+            if is_kind(p, wanted[-1]):
+                wanted.pop()
+            p = p.parent
+        if not wanted:
+            return n
     return None
 
 
 def find_content(root: Node, selectors: list[str] = BOARD_CONTENT) -> Node:
     """The first node that a selector finds, in their order; else the div with the longest text, of equal ones the first."""
+    kinds = _by_kind(root)
     for sel in selectors:
-        if (n := select(root, sel)) is not None:
+        if (n := select(root, sel, kinds)) is not None:
             return n
     divs = [n for n in root.walk() if n.tag == "div"]
     return max(divs, key=lambda n: len(n.text())) if divs else root
 
 
 def without_noise(n: Node) -> Node:
-    n.children = [c for c in n.children if isinstance(c, str) or not (c.tag in NOISE_TAGS or NOISE_CLASSES.search(c.classes()) or any(is_kind(c, s) for s in STATIC_NOISE))]
+    n.children = [c for c in n.children if isinstance(c, str) or not (c.tag in NOISE_TAGS or NOISE_CLASSES.search(c.classes()) or c.tag in _STATIC_NOISE or c.attrs and any("." + x in _STATIC_NOISE for x in c.classes().split()))]
     for c in n.children:
         if isinstance(c, Node):
             without_noise(c)
