@@ -111,7 +111,8 @@ def strip_values(text: Column, *values: Column) -> Column:
 
 
 def clean_person(c: Column, labels: str = "등록일|작성일|조회|첨부") -> Column:
-    return F.btrim(F.split(one_line(c), labels)[0], F.lit(" :"))
+    """A name up to the next label, without blanks and colons at its ends; null if nothing is left."""
+    return F.nullif(F.btrim(F.split(one_line(c), labels)[0], F.lit(" :")), F.lit(""))
 
 
 def fingerprint_text(parts: dict[str, Column]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["snapshot_queries", "retrieval_queries", "text_queries", "store_queries", "log_queries", "pipeline_queries", "ingest_queries"]
+MODULES = ["snapshot_queries", "retrieval_queries", "text_queries", "store_queries", "log_queries", "pipeline_queries", "ingest_queries", "file_queries"]
 
 
 def _modules():

@@ -211,3 +211,31 @@ def metadata_merge(spark, sf_dir):
     m = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
     row = F.create_map(F.lit("source_type"), F.col("source_type"), F.lit("version"), F.col("version").cast("string"))
     return _docs(spark, sf_dir).select("doc_id", F.to_json(F.map_from_entries(F.array_sort(F.map_entries(scalars.merge_maps(m, row))))).alias("merged"))
+
+
+_TITLED = r"regexp_replace(title || ' | Nurisol University', '[\s\x{00A0}\x{3000}]+', ' ', 'g')"
+
+
+@query(f"""SELECT doc_id, {_strip(f"regexp_replace({_strip(_TITLED)}, '\\s*[|\\-–]\\s*[^|\\-–]*(대학교|University|Portal)[^|\\-–]*$', '')")} AS title,
+ md5({_squeeze("regexp_replace(text, '(?i)' || regexp_escape(title), '', 'g')")}) AS body_md5, nullif(trim(string_split(department, '조회')[1], ' :'), '') AS person, {_strip('coalesce(lang, source)')} AS part,
+ array_to_string(regexp_extract_all(title, '[가-힣A-Za-z0-9]{{2,}}'), ' ') AS tokens FROM documents""")
+def text_forms(spark, sf_dir):
+    """Titles without the site's name, texts without their title, names before labels, a bracketed section, longer tokens."""
+    d = _docs(spark, sf_dir)
+    section = F.concat(F.lit("[ONE]\n"), F.coalesce("lang", "source"), F.lit("\n\n[TWO]\n"), "source")
+    return d.select("doc_id", text.clean_title(F.concat("title", F.lit(" | Nurisol University"))).alias("title"), F.md5(text.strip_values(F.col("text"), F.col("title"))).alias("body_md5"),
+                    text.clean_person(F.concat("department", F.lit(" : 조회 3"))).alias("person"), text.section(section, "ONE").alias("part"), F.array_join(text.long_tokens(F.col("title")), " ").alias("tokens"))
+
+
+_KIND = "CASE WHEN contains(lower(source_url), 'notice') THEN 'notice' WHEN contains(lower(source_url), 'scholar') THEN 'scholarship' ELSE 'webpage' END"
+
+
+@query(f"""SELECT doc_id, {_KIND} AS kind, regexp_extract(source_url, '^[A-Za-z]+://[^/?#]*', 0) || '/files/' || doc_id || '.pdf' AS attachment, source_url IS NOT NULL AS navigates,
+ strptime(nullif(trim(coalesce(strftime(published_at, '%Y-%m-%d %H:%M:%S'), ' ')), ''), '%Y-%m-%d %H:%M:%S') AS published FROM documents WHERE source_url IS NOT NULL""")
+def address_forms(spark, sf_dir):
+    """Kind by ordered parts of the address, links resolved against their page, empty dates as null."""
+    u = F.col("source_url")
+    stamp = scalars.empty_to_timestamp(F.coalesce(F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"), F.lit(" ")))
+    return _docs(spark, sf_dir).where(u.isNotNull()).select(
+        "doc_id", urls.source_type(u, [("notice", "notice"), ("scholar", "scholarship")]).alias("kind"), urls.resolve(u, F.concat(F.lit("/files/"), F.col("doc_id").cast("string"), F.lit(".pdf"))).alias("attachment"),
+        urls.navigates(u).alias("navigates"), stamp.cast("timestamp_ntz").alias("published"))

@@ -47,6 +47,11 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def step_path(spark: SparkSession, label: str) -> str:
+    """A new path among this application's steps."""
+    return f"{_steps(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def clear_steps(spark: SparkSession) -> None:
     """Remove the tables between steps that this application has written, once its results are stored elsewhere.  The
     retrieval index stays."""

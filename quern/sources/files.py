@@ -9,10 +9,11 @@ from pyspark.sql.types import StructType
 from quern.schemas import CHUNK
 
 
-def json_records(spark: SparkSession, folder: str, schema: StructType = CHUNK) -> DataFrame:
-    """Records of all ``*.json`` files below a folder, each file one object or an array.  Elements that are no
+def json_records(spark: SparkSession, folder: str, schema: StructType = CHUNK, lines: bool = False) -> DataFrame:
+    """Records of all ``*.json`` files below a folder, each file one object or an array; with ``lines`` of all text
+    files, each line one object or an array.  Elements that are no
     objects are skipped, a broken file gives no record; missing texts are empty except date and department."""
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    files = spark.read.text(folder, recursiveFileLookup=True) if lines else spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     items = F.coalesce(F.from_json("value", "array<string>"), F.array("value"))
     each = files.select(F.col("_metadata.file_path").alias("file_path"), F.posexplode(items).alias("pos", "item")).where(F.btrim("item").startswith("{"))
     out = each.select("file_path", "pos", F.from_json("item", schema).alias("r")).where("r is not null").select("file_path", "pos", "r.*")
@@ -20,9 +21,9 @@ def json_records(spark: SparkSession, folder: str, schema: StructType = CHUNK) -
     return out.withColumns({f.name: F.coalesce(f.name, F.lit("")) for f in schema if f.dataType.simpleString() == "string" and f.name not in keep_null})
 
 
-def one_level(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    """``<kind>/<id>.json`` one level deep, one object a file, with the kind taken from the path."""
-    df = spark.read.schema(schema).option("multiLine", True).json(f"{folder}/*/*.json")
+def one_level(spark: SparkSession, folder: str, schema: StructType, lines: bool = False) -> DataFrame:
+    """``<kind>/<id>.json`` one level deep, one object a file (with ``lines`` one a line), with the kind taken from the path."""
+    df = spark.read.schema(schema).option("multiLine", not lines).json(f"{folder}/*/*.json")
     return df.select("*", F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1).alias("folder_kind"))
 
 

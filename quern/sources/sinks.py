@@ -14,6 +14,14 @@ def write_partitions(df: DataFrame, path: str, by: str = "source_type", format:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).format(format).save(path)
 
 
+def write_chunk_sets(chunks: DataFrame, path: str, key: str = "doc_id", order: str = "chunk_index", by: str = "source_type") -> None:
+    """One JSON array a document, a line each, in folders by kind: what ``files.json_records`` reads with ``lines``.
+    A document's chunks are as many as its text has pieces, so an array is no larger than its document."""
+    item = F.struct(F.col(order).alias("_o"), F.struct(*[F.col(c).cast("string") if t.startswith("timestamp") else F.col(c) for c, t in chunks.dtypes]).alias("r"))
+    sets = chunks.groupBy(key, by).agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["r"])).alias("value"))
+    sets.select("value", by).write.mode("overwrite").partitionBy(by).text(path)
+
+
 def append_log(df: DataFrame, path: str, stamp: Column | None = None) -> None:
     """Appends JSON lines, with a time stamp of the given time if there is one."""
     (df.withColumn("logged_at", kst_stamp(stamp)) if stamp is not None else df).write.mode("append").json(path)
