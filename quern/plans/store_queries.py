@@ -184,13 +184,15 @@ def csv_report(spark, sf_dir):
     return sinks.report(d)
 
 
-@query()
+@query("""SELECT doc_id, CASE WHEN json_valid(metadata) AND json_type(metadata) = 'OBJECT' THEN json(metadata)::VARCHAR ELSE '{}' END AS metadata,
+ array_to_string(list_filter([lang, department, version::VARCHAR], lambda x: x IS NOT NULL), '|') AS values FROM documents""")
 def json_coercion(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", object_or_empty(F.col("metadata")).alias("metadata"), texts_only(F.array("lang", "department", F.col("version").cast("string"))).alias("values"))
+    return d.select("doc_id", object_or_empty(F.col("metadata")).alias("metadata"), F.array_join(texts_only(F.array("lang", "department", F.col("version").cast("string"))), "|").alias("values"))
 
 
-@query()
+@query("""SELECT doc_id, to_json({'text': substring(coalesce(nullif(trim(text), ''), '-'), 1, 500), 'title': substring(coalesce(nullif(trim(title), ''), '-'), 1, 50),
+ 'description': substring(coalesce(nullif(trim(table_text), ''), '-'), 1, 300), 'quick_replies': [source, source_type, department]})::VARCHAR AS card FROM documents""")
 def channel_cards(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", sinks.channel_response(F.col("text"), F.col("title"), F.col("table_text"), F.array("source", "source_type", "department", "lang")).alias("card"))

@@ -96,7 +96,10 @@ def repeated_lines_in_document(spark, sf_dir):
     return d.select("doc_id", chunking.drop_repeated_lines(F.col("attachment_text")).alias("kept"))
 
 
-@query()
+@query(f"""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(attachment_text, chr(10)) AS ls FROM documents WHERE attachment_text <> '')),
+k AS (SELECT *, regexp_full_match(line, '\\[ATTACHMENT: .*\\]') AS head, sum(regexp_full_match(line, '\\[ATTACHMENT: .*\\]')::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM l),
+g AS (SELECT doc_id, sec, coalesce(max(CASE WHEN head THEN regexp_extract(line, '^\\[ATTACHMENT: (.*)\\]$', 1) END), '') AS title, {_strip("coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT head), '')")} AS text FROM k GROUP BY doc_id, sec)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1)::INTEGER AS section_no, title, text FROM g WHERE text <> ''""")
 def attachment_sections(spark, sf_dir):
     s = chunking.attachment_sections(F.col("attachment_text"))
     return _docs(spark, sf_dir).where("attachment_text != ''").select("doc_id", F.posexplode(s).alias("section_no", "s")).select("doc_id", "section_no", "s.title", "s.text")
