@@ -163,6 +163,11 @@ def page_tops(lines: list[str], numbers: set[int] | None = None) -> list[int]:
     return out
 
 
+def _variants(key: str) -> set[str]:
+    """A key and what it is without one of its signs: keys up to one edit apart have one of these in common."""
+    return {key, *(key[:i] + key[i + 1:] for i in range(len(key)))}
+
+
 class PageReader:
     """Splits a record into headers, page numbers and running text.
 
@@ -173,7 +178,7 @@ class PageReader:
         self.variants: dict[str, list[str]] = {}
         for h in headers:
             if len(h) > 6:
-                for v in {h, *(h[:i] + h[i + 1:] for i in range(len(h)))}:
+                for v in _variants(h):
                     self.variants.setdefault(v, []).append(h)
 
     def roles(self, lines: list[str], title: str | None = None) -> list[str]:
@@ -211,7 +216,7 @@ class PageReader:
         if got is None:
             if len(self.seen) >= self.size:
                 self.seen.clear()
-            near = {h for v in (key, *(key[:i] + key[i + 1:] for i in range(len(key)))) for h in self.variants.get(v, ())}
+            near = {h for v in _variants(key) for h in self.variants.get(v, ())}
             got = self.seen[key] = any(abs(len(h) - len(key)) <= 1 and _one_edit(h, key) for h in near)
         return got
 
@@ -297,31 +302,36 @@ def header_lexicon(scans: DataFrame) -> DataFrame:
 
 
 def _with_headers(rows: DataFrame, headers: DataFrame) -> tuple[DataFrame, set[str] | None]:
-    """Rows with ``_heads``, the known headers among their lines, or the whole set where it is small enough to share."""
+    """Rows with ``_heads``, the known headers among their lines up to one edit, or the whole set where it is small enough
+    to share.  A reader finds the same headers either way."""
     headers = written(headers, "headers")
     if headers.count() <= SHARED_HEADERS:
         return rows.withColumn("_heads", F.lit(None).cast("array<string>")), {r["k"] for r in headers.collect()}
 
-    def variants():
+    def of_record():
         def f(b):
             for field, rec, text in zip(b["field"], b["rec_id"], b["_text"]):
-                lines = text.split("\n")
-                for k in {k for i in page_tops(lines) if len(lines[i]) < 60 and (k := header_key(lines[i]))}:
-                    for v in {k, *(k[:i] + k[i + 1:] for i in range(len(k)))}:
-                        yield field, rec, v
+                # Every line a reader compares with headers, wherever it stands: a header found in a shared set is found here.
+                for k in {header_key(x) for x in text.split("\n") if len(x) < 60} - {""}:
+                    yield field, rec, k
         return f
 
-    def of_header():
+    def variants():
         def f(b):
-            for k in b["k"]:
-                for v in {k, *(k[:i] + k[i + 1:] for i in range(len(k)))}:
-                    yield k, v
+            for k, line in zip(b["k"], b["line"]):
+                for v in _variants(k):
+                    yield line, xxhash.xxh3_64_intdigest(v) >> 1
         return f
 
-    asked = map_rows(rows.select("field", "rec_id", "_text"), "field string, rec_id long, v string", variants)
-    known = map_rows(headers, "k string, v string", of_header)
-    each = asked.join(known, "v").groupBy("field", "rec_id").agg(F.collect_set("k").alias("_heads"))
-    return rows.join(each, ["field", "rec_id"], "left"), None
+    # Each different line is asked for once.  Hashes that meet by chance give a record one header more, which the reader refuses.
+    of = F.xxhash64("k")
+    lines = map_rows(rows.select("field", "rec_id", "_text"), "field string, rec_id long, k string", of_record).withColumn("line", of)
+    asked = map_rows(lines.select("k", "line").distinct(), "line long, v long", variants)
+    known = map_rows(headers.withColumn("line", of), "line long, v long", variants).withColumnRenamed("line", "head")
+    near = asked.join(known, "v").select("line", "head").distinct().join(headers.select("k", of.alias("head")), "head")
+    each = (lines.select("field", "rec_id", "line").join(near, "line").groupBy(F.col("field").alias("_field"), F.col("rec_id").alias("_rec"))
+            .agg(F.collect_set("k").alias("_heads")))
+    return rows.join(each, F.col("field").eqNullSafe(F.col("_field")) & F.col("rec_id").eqNullSafe(F.col("_rec")), "left").drop("_field", "_rec"), None
 
 
 def _findings(scans: DataFrame, known: set[str], headers: set[str] | None) -> DataFrame:

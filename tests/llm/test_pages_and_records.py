@@ -136,6 +136,21 @@ def test_joined_headers_and_word_list_change_nothing(spark, monkeypatch):
     assert run() == want
 
 
+def test_joined_headers_are_found_wherever_they_stand(spark, monkeypatch):
+    """At a page's foot, within it, numbered, one sign off, and in records without an id, as with shared headers."""
+    clean = spark.createDataFrame([("장학금 신청서를 학생회관 사무실에 제출하면 됩니다.",)] * 6, "t string")
+    rows = [(i, "\n".join(["생활관 안내 책자", *(f"{i}번 학생은 {j}번 신청서를 냅니다." for j in range(9))])) for i in range(20, 32)]
+    rows += [(9, "장학금 신청서를 제출하면 됩니다.\n생활관 안내 책자"), (10, "신청서를 냅니다.\n12   생활관 안내 책지\n신청서를 냅니다."),
+             (None, "신청서를 냅니다.\n생활관 안내\n생활관안내 책자"), (11, "신청서를 냅니다.\n생활관 안내 규정"), (12, ""), (13, None)]
+    df = spark.createDataFrame(rows, "id long, s string")
+    args = [("s", df, "id", "s", None, True)], [(clean, "t")]
+    run = lambda: (sorted(map(tuple, sc.scan_noise(*args).collect()), key=str), sorted(map(tuple, sc.repaired(*args).collect()), key=str))
+    want = run()
+    assert {r[1:3] for r in want[0] if r[3] == "running_header"} == {*((i, 0) for i in range(20, 32)), (9, 1), (10, 1), (None, 2)}
+    monkeypatch.setattr(sc, "SHARED_HEADERS", 0)
+    assert run() == want
+
+
 def test_wrapped_or_not():
     import textwrap
     text = "Seats for the credit transfer are limited to forty, so graduate assistants are placed first. Bring the budget sheet to the desk. The office will contact you soon."
